@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .id_store import documents_of, write_ids
 from .mixing import mix
 from .topk import top_k
 
@@ -47,5 +48,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op7_mixing": op7_mixing, "op9_topk": op9_topk}
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_of(write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+QUERIES = {"op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
 SQL = {"op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
