@@ -181,6 +181,8 @@ class ChunkEncoder:
         if len(self.chunks) + len(own) <= self.held * 7 // 10:
             self.chunks.update(own)
             own = {}
+        if not own:
+            return [b"".join(map(self.chunks.__getitem__, parts)) for parts in cut]
         get, held = own.get, self.chunks.get
         return [b"".join([held(c) or get(c, b"") for c in parts]) for parts in cut]
 
@@ -198,7 +200,7 @@ class ChunkEncoder:
             table.update(own)
         else:
             table = {p: own[p] if p in own else table[p] for p in set().union(*(parts[1:] for parts in split))}
-        return [head + b"".join([table[p] for p in parts[1:]]) for head, parts in zip(heads, split, strict=True)]
+        return [head + b"".join(map(table.__getitem__, parts[1:])) for head, parts in zip(heads, split, strict=True)]
 
 
 def worker_encoder(path: str, held: int) -> ChunkEncoder:
@@ -252,7 +254,7 @@ def packer(width: int, segment_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, segment_ids: int = 1 << 20, held_chunks: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, segment_ids: int = 1 << 20, held_chunks: int = 1_400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes their segments, ascending in doc_id; returns the table of
     segments (shard, segment, n_ids, payload) as read back from the shared folder.
 
