@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .id_store import documents_of, write_ids
+from .license_scan import scan_licenses
 from .mixing import mix
 from .quality_rules import judge
 from .quality_rules import sql as judge_sql
@@ -17,6 +18,10 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -64,5 +69,5 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES = {"op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
+QUERIES = {"op5_license_scan": op5_license_scan, "op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
 SQL = {"op1_divergence": judge_sql(), "op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
