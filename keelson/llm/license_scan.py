@@ -79,7 +79,8 @@ class Scanner:
                 while a < b and (m := pattern.search(line, a, b)):
                     found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                     done = a = max(m.end(), a + 1)
-        return found
+        # Of overlapping notices those with the fewest edits stay.
+        return [x for x in found if not any(y[3] < x[3] and y[1] < x[2] and x[1] < y[2] for y in found)]
 
     def scan(self, doc_id: int | None, text: bytes | None) -> dict:
         words = (text or b"").translate(WORD_BYTES).split()
