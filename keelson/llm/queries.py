@@ -10,6 +10,7 @@ from .common import table
 from .id_store import documents_of, write_ids
 from .license_scan import scan_licenses
 from .mixing import mix
+from .ngram_join import join
 from .quality_rules import judge
 from .quality_rules import sql as judge_sql
 from .topk import top_k
@@ -33,6 +34,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -80,5 +85,5 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES = {"op2_byte_cnn": op2_byte_cnn, "op3_counterfactual": op3_counterfactual, "op5_license_scan": op5_license_scan, "op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
+QUERIES = {"op6_chosen_path": op6_chosen_path, "op2_byte_cnn": op2_byte_cnn, "op3_counterfactual": op3_counterfactual, "op5_license_scan": op5_license_scan, "op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
 SQL = {"op1_divergence": judge_sql(), "op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
