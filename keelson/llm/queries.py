@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, toxicity
+from . import katz, quality_classifier, toxicity
 from .common import table
 from .id_store import documents_of, write_ids
 from .license_scan import scan_licenses
@@ -61,6 +61,10 @@ SELECT doc_id, size, source_size, target, (epochs * size)::BIGINT AS taken, epoc
 """
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -85,5 +89,5 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES = {"op6_chosen_path": op6_chosen_path, "op2_byte_cnn": op2_byte_cnn, "op3_counterfactual": op3_counterfactual, "op5_license_scan": op5_license_scan, "op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
+QUERIES = {"op8_katz": op8_katz, "op6_chosen_path": op6_chosen_path, "op2_byte_cnn": op2_byte_cnn, "op3_counterfactual": op3_counterfactual, "op5_license_scan": op5_license_scan, "op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
 SQL = {"op1_divergence": judge_sql(), "op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
