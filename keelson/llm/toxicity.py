@@ -16,7 +16,6 @@ that class's share, smoothed; an empty table gives no rows; other columns are ig
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +41,28 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LETTERS).split()
 
 
-def parts_of(word: bytes) -> list[bytes]:
-    return [word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]
+def parts_of(word: bytes) -> list[int]:
+    """Hashes of the word and of its beginnings."""
+    import xxhash
 
+    return [xxhash.xxh64_intdigest(p) for p in (word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n))]
 
-def features_of(words: list[bytes]) -> set[bytes]:
-    return {p for w in set(words) for p in parts_of(w)}
+
+class Parts(dict):
+    """parts_of, remembered for up to `held` words."""
+
+    def __init__(self, held: int):
+        self.held = held
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= self.held:
+            self.clear()
+        own = self[word] = parts_of(word)
+        return own
+
+
+def features_of(words: list[bytes], known: Parts) -> np.ndarray:
+    return np.unique(np.fromiter((p for w in set(words) for p in known[w]), np.uint64))
 
 
 def counterfactual(words: list[bytes], n: int) -> list[bytes]:
@@ -58,15 +73,17 @@ def counterfactual(words: list[bytes], n: int) -> list[bytes]:
     return swapped if swapped != words else [*words, terms[n % len(terms)]]
 
 
-def rows_matrix(rows: list[set], index: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ones."""
-    at = [(i, index[f]) for i, own in enumerate(rows) for f in own if f in index]
-    a = np.array(at, np.int64).reshape(-1, 2)
-    return a[:, 0], a[:, 1]
+def columns(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the ones; names: the sorted features in use."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+    keep = names[at] == flat
+    return owner[keep], at[keep]
 
 
 class Model:
-    def __init__(self, weights: dict[bytes, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
 
     @classmethod
@@ -75,16 +92,19 @@ class Model:
         prior = float(np.log(share / (1 - share)))
         if len(set(y)) < 2:
             return cls({}, prior)
-        words = [words_of(t) for t in texts]
-        seen = [features_of(x) for x in words]
-        n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-        c1 = Counter(f for own, v in zip(seen, y, strict=True) if v for f in own)
-        c0 = Counter(f for own, v in zip(seen, y, strict=True) if not v for f in own)
-        odds = {f: np.log((c1[f] + 0.5) / (n1 + 1)) - np.log((c0[f] + 0.5) / (n0 + 1)) for f in c1 if c1[f] + c0[f] >= least_docs}
-        strong = sorted((f for f, v in odds.items() if v > 2.0), key=lambda f: (-odds[f] * c1[f], f))[:most]
-        index = {f: i for i, f in enumerate(dict.fromkeys([*strong, *(t.encode() for t in IDENTITY_TERMS)]))}
-        other = [features_of(counterfactual(x, i)) for i, x in enumerate(words)]
-        (r, c), (r2, c2) = rows_matrix(seen, index), rows_matrix(other, index)
+        known = Parts(100_000)
+        seen = [features_of(words_of(t), known) for t in texts]
+        own = y == 1
+        n1, n0 = int(own.sum()), int((~own).sum())
+        names, where = np.unique(np.concatenate(seen), return_inverse=True)
+        toxic = np.repeat(own, [len(x) for x in seen])
+        c1, c0 = (np.bincount(where[m], minlength=len(names)) for m in (toxic, ~toxic))
+        odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
+        fit = np.flatnonzero((c1 + c0 >= least_docs) & (odds > 2.0))
+        strong = names[fit[np.lexsort((names[fit], -odds[fit] * c1[fit]))[:most]]]
+        index = np.unique(np.concatenate([strong, np.array([parts_of(t.encode())[0] for t in IDENTITY_TERMS], np.uint64)]))
+        other = [features_of(counterfactual(words_of(t), i), known) for i, t in enumerate(texts)]
+        (r, c), (r2, c2) = columns(seen, index), columns(other, index)
         n, f = len(texts), len(index)
         theta, b = np.zeros(f), prior
         m, v = np.zeros(f + 1), np.zeros(f + 1)
@@ -98,11 +118,11 @@ class Model:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
             theta, b = theta - move[:-1], b - move[-1]
-        return cls({k: float(theta[i]) for k, i in index.items() if abs(theta[i]) > 1e-6}, float(b))
+        return cls({int(k): float(v) for k, v in zip(index, theta, strict=True) if abs(v) > 1e-6}, float(b))
 
     def score(self, text: str | None, known: dict | None = None) -> float:
         known = {} if known is None else known
-        found: set[bytes] = set()
+        found: set[int] = set()
         for word in set(words_of(text)):
             own = known.get(word)
             if own is None:
@@ -127,7 +147,7 @@ def scorer(packed: bytes, held: int):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 30_000, penalty: float = 1.0) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 12_000, penalty: float = 1.0) -> Model:
     """Fits on at most per_class documents of each class, none over max_chars characters."""
     return Model.fit(*sample(docs, labels, "toxic", per_class, max_chars), penalty=penalty)
 
