@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, quality_classifier, toxicity
+from . import katz, quality_classifier, sentencepiece_codec, toxicity
 from .common import table
 from .id_store import documents_of, write_ids
 from .license_scan import scan_licenses
@@ -30,6 +30,10 @@ def op3_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -89,5 +93,5 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES = {"op8_katz": op8_katz, "op6_chosen_path": op6_chosen_path, "op2_byte_cnn": op2_byte_cnn, "op3_counterfactual": op3_counterfactual, "op5_license_scan": op5_license_scan, "op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
+QUERIES = {"op4_sentencepiece": op4_sentencepiece, "op8_katz": op8_katz, "op6_chosen_path": op6_chosen_path, "op2_byte_cnn": op2_byte_cnn, "op3_counterfactual": op3_counterfactual, "op5_license_scan": op5_license_scan, "op1_divergence": op1_divergence, "op10_id_store": op10_id_store, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
 SQL = {"op1_divergence": judge_sql(), "op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
