@@ -46,7 +46,7 @@ def squeeze(x: np.ndarray) -> bytes:
     """An array by byte planes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
 
 
 def stretch(data: bytes, kind: str) -> np.ndarray:
