@@ -21,6 +21,7 @@ segments; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import re
@@ -154,7 +155,8 @@ class ChunkEncoder:
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
-        self.held, self.chunks, self.parts = held, {}, {}
+        self.held, self.chunks, self.parts, self.stems = held, {}, {}, {}
+        self.marks = {m: self.raw([m])[0] for m in (".", ",")}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -178,7 +180,7 @@ class ChunkEncoder:
         own = dict(zip(rest, self.raw(rest), strict=True))
         for at in range(0, len(plain), 100):
             own.update(zip(plain[at : at + 100], self.together(plain[at : at + 100]), strict=True))
-        if len(self.chunks) + len(own) <= self.held * 7 // 10:
+        if len(self.chunks) + len(own) <= self.held // 10:
             self.chunks.update(own)
             own = {}
         if not own:
@@ -193,14 +195,35 @@ class ChunkEncoder:
         even = [bool(t) and t[0] != " " and t[-1] != " " and "  " not in t and " \n" not in t and "\n " not in t and not OTHER_SPACE.search(t) for t in texts]
         split = [t.split(" ") if ok else [t] for t, ok in zip(texts, even, strict=True)]
         heads = self.pieces([parts[0] for parts in split], False)
-        new = list(set().union(*(parts[1:] for parts in split)).difference(self.parts))
-        own = dict(zip(new, self.pieces([" " + p for p in new], True), strict=True))
+        words = set().union(*split)
+        new = words.difference(self.parts)
+        own = self.after_space(new)
         table = self.parts
         if len(table) + len(own) <= self.held:
             table.update(own)
         else:
-            table = {p: own[p] if p in own else table[p] for p in set().union(*(parts[1:] for parts in split))}
-        return [head + b"".join(map(table.__getitem__, parts[1:])) for head, parts in zip(heads, split, strict=True)]
+            table = {p: own[p] if p in own else table[p] for p in words}
+        return [b"".join([head, *map(table.__getitem__, parts[1:])]) for head, parts in zip(heads, split, strict=True)]
+
+    def after_space(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of " " + part. Most parts are a stem of letters and digits, or one and a mark."""
+        plain = {p for p in new if p.isalnum()}
+        marked = {p: p[:-1] for p in new.difference(plain) if p[-1:] in (".", ",") and p[:-1].isalnum()}
+        stems = plain.union(marked.values())
+        fresh = sorted(stems.difference(self.stems))
+        found = {}
+        for at in range(0, len(fresh), 100):
+            part = fresh[at : at + 100]
+            found.update(zip(part, self.together([" " + x for x in part]), strict=True))
+        if len(self.stems) + len(found) <= self.held * 7 // 10:
+            self.stems.update(found)
+        get, held = found.get, self.stems.get
+        out = {p: get(p) or held(p) for p in plain}
+        for p, stem in marked.items():
+            out[p] = (get(stem) or held(stem)) + self.marks[p[-1]]
+        rest = [p for p in new if p not in out]
+        out.update(zip(rest, self.pieces([" " + p for p in rest], True), strict=True))
+        return out
 
 
 def worker_encoder(path: str, held: int) -> ChunkEncoder:
@@ -219,13 +242,17 @@ def encoder(path: str, bounds: np.ndarray, end_id: int | None, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_encoder(path, held)
         end = b"" if end_id is None else end_id.to_bytes(own.width, "little")
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(batch), 1024):
-                ids = names.slice(at, 1024)
-                blobs = [b + end for b in own.encode([t or "" for t in texts.slice(at, 1024).to_pylist()])]
-                shard = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(blobs, pa.binary())], schema=schema)
+        gc.disable()  # millions of short lists, none in a cycle
+        try:
+            for batch in batches:
+                names, texts = batch.column(0), batch.column(1)
+                for at in range(0, len(batch), 1024):
+                    ids = names.slice(at, 1024)
+                    blobs = [b + end for b in own.encode([t or "" for t in texts.slice(at, 1024).to_pylist()])]
+                    shard = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(blobs, pa.binary())], schema=schema)
+        finally:
+            gc.enable()
 
     return run
 
@@ -254,7 +281,7 @@ def packer(width: int, segment_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, segment_ids: int = 1 << 20, held_chunks: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, segment_ids: int = 1 << 20, held_chunks: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes their segments, ascending in doc_id; returns the table of
     segments (shard, segment, n_ids, payload) as read back from the shared folder.
 
