@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more;
+    it only learns of them from a garbage collection of the driver."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(column: str, mod: int, at: int = 2):
     """Whether crc32 of the id as text, modulo mod, is `at`."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod == at, F.lit(False))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, new_path, written
+from .common import held_out, new_path, settle, written
 
 TOP = 5
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -141,8 +141,9 @@ class Block:
         rank = np.empty_like(by_hash)
         rank[by_hash] = np.arange(len(by_hash))
         self.pairs, self.first, self.second = hashes[by_hash], first[by_hash], second[by_hash]
-        self.pair_of = rank[self.pair_of]
-        self.pair_counts = np.bincount(self.pair_of[self.train], minlength=len(key)).astype(np.uint32)
+        self.pair_of = rank[self.pair_of].astype(np.int32)
+        del key, first, second, hashes, by_hash, rank
+        self.pair_counts = np.bincount(self.pair_of[self.train], minlength=len(self.pairs)).astype(np.uint32)
 
 
 def slices(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -323,7 +324,7 @@ def evaluate(law: Law):
     return run
 
 
-def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 4_000_000, bucket_ngrams: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 1_000_000, bucket_ngrams: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document.
 
     Learns from documents whose crc32(id) modulo mod is not `at`; scores all of them.
@@ -337,6 +338,8 @@ def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 4_000_
     told_kinds = "kind string, order int, bucket int, block long, hashes binary, values binary, owner binary, stats array<long>"
     path = new_path(spark, "katz-counts")
     asked.mapInArrow(add_counts, told_kinds).write.partitionBy("kind", "order").parquet(path)
+    del asked
+    settle(spark)
     told = spark.read.schema(told_kinds).parquet(path)
     model = told.where("kind = 'table'")
     sums = {r["order"]: list(r)[1:] for r in model.groupBy("order").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(TOP + 3)]).collect()}
@@ -350,5 +353,7 @@ def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 4_000_
 
     sent = by_block(bodies.unionByName(counted)).mapInArrow(ask_weights(law, buckets[0]), ASK).repartition("order", "bucket").sortWithinPartitions("order", "bucket", "block")
     weights = written(sent.mapInArrow(add_weights, "kind string, order int, bucket int, block long, values binary, owner binary"), "katz-weights")
+    del sent
+    settle(spark)
     ready = by_block(bodies.unionByName(counted).unionByName(weights.select(*[x.split()[0] for x in state.split(", ")])))
     return ready.mapInArrow(evaluate(law), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
