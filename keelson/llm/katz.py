@@ -278,27 +278,28 @@ def ask_weights(law: Law, buckets: int):
 
 
 def add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per history the scale of seen pairs and the backoff weight, as answers to the blocks."""
+    """Per history its backoff weight, as answers to the blocks: the mass that is left over the
+    lower mass that is not seen. A full history has the negative of the latter instead."""
     schema = pa.schema([("kind", pa.string()), ("order", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("values", pa.binary()), ("owner", pa.binary())])
     for (order, bucket), rows in grouped(batches, 2):
         parts = [stretch_sorted(r[3]) for r in rows]
         sizes = np.cumsum([0, *map(len, parts)])
         distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = [np.bincount(inverse, np.concatenate([stretch(pickle.loads(r[4])[i], "<f8") for r in rows]), len(distinct)) for i in (0, 1)]
+        mass, low = (np.bincount(inverse, np.concatenate([stretch(pickle.loads(r[4])[i], "<f8") for r in rows]), len(distinct)) for i in (0, 1))
+        free = np.maximum(1 - low, 1e-300)
+        told = np.where(mass > 1 - 1e-9, -free, (1 - mass) / free)
         for r, a, b in zip(rows, sizes[:-1], sizes[1:], strict=True):
-            mass, low = (s[inverse[a:b]] for s in sums)
-            yield pa.RecordBatch.from_pylist([{"kind": "weight", "order": order, "bucket": bucket, "block": r[2], "values": squeeze(mass), "owner": squeeze(low)}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"kind": "weight", "order": order, "bucket": bucket, "block": r[2], "values": squeeze(told[inverse[a:b]]), "owner": None}], schema=schema)
 
 
-def probabilities(law: Law, pairs: np.ndarray, words: np.ndarray, history: np.ndarray, mass: np.ndarray, low: np.ndarray) -> np.ndarray:
+def probabilities(law: Law, pairs: np.ndarray, words: np.ndarray, history: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """P(w | h), by recursion to the lower order where the pair is unseen. All arguments are by
-    pair: its count, c(w), c(h), and the history's two sums."""
+    pair: its count, c(w), c(h), and what add_weights told of the history."""
     below = law.lower(words)
-    full = mass > 1 - 1e-9
+    full = weight < 0
     scale = np.where(full, history / (history + 1), 1.0)
-    left = np.where(full, 1 / (history + 1), 1 - mass)
-    backoff = np.where(history > 0, left / np.maximum(1 - low, 1e-300), 1.0)
-    return np.where(pairs > 0, scale * law.seen(pairs, history), backoff * below)
+    backoff = np.where(full, 1 / (history + 1) / np.abs(weight), weight)
+    return np.where(pairs > 0, scale * law.seen(pairs, history), np.where(history > 0, backoff, 1.0) * below)
 
 
 def evaluate(law: Law):
@@ -309,10 +310,10 @@ def evaluate(law: Law):
             words, _ = answers(own, told, 1)
             pairs, _ = answers(own, told, 2)
             weights = sorted(weights, key=lambda r: r[1])
-            mass, low = (np.concatenate([stretch(r[i], "<f8") for r in weights]) for i in (2, 3))
+            weight = np.concatenate([stretch(r[2], "<f8") for r in weights])
             history = history_counts(own, words)
             h = own.first
-            each = np.log10(probabilities(law, pairs, words[own.second], history[h], mass[h], low[h]))
+            each = np.log10(probabilities(law, pairs, words[own.second], history[h], weight[h]))
             starts = np.concatenate([[0], own.ends[:-1]])
             score = np.add.reduceat(each[own.pair_of], starts)
             plain = np.log10((words + np.uint64(1)).astype(np.float64) / (law.n_tokens + law.n_types + 1))
@@ -324,7 +325,7 @@ def evaluate(law: Law):
     return run
 
 
-def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 1_000_000, bucket_ngrams: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 1_500_000, bucket_ngrams: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document.
 
     Learns from documents whose crc32(id) modulo mod is not `at`; scores all of them.
