@@ -6,7 +6,10 @@ identity terms replaced by others, or, where it has none, a neutral mention adde
 minimises log loss plus `penalty` times the squared change of the log-odds from text to
 counterfactual, so that the mention of a group moves no score by itself.
 
-Scoring reads each whole text once; a text's score depends on its set of features only.
+Scoring reads each whole text once; a text's score depends on its set of features only. So does
+the fit: the sample is bounded by rows, not by length. Its texts stay on the executors, which count
+their features and then say which of the chosen ones each text has, so that what reaches
+the driver does not grow with the texts.
 
 Defined cases: a null or empty text scores as one without features; null ids are not
 held out; repeated rows score alike; with no labelled rows (or one class only) the score is
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
-from .labelled import sample
+from .common import held_out, remove, written
+from .labelled import sampled, weights_of
 
 #: Terms that name groups, swapped with each other.
 IDENTITY_TERMS = (
@@ -82,16 +85,23 @@ def columns(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.n
     return owner[keep], at[keep]
 
 
+def identity_parts() -> np.ndarray:
+    return np.array([parts_of(t.encode())[0] for t in IDENTITY_TERMS], np.uint64)
+
+
+def prior_of(y: np.ndarray, w: np.ndarray) -> float:
+    share = (np.sum(w * y) + 0.5) / (np.sum(w) + 1.0)
+    return float(np.log(share / (1 - share)))
+
+
 class Model:
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
 
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray, w: np.ndarray, penalty: float = 1.0, ridge: float = 0.01, steps: int = 400, rate: float = 0.05, least_docs: int = 4, most: int = 4000) -> Model:
-        share = (np.sum(w * y) + 0.5) / (np.sum(w) + 1.0)
-        prior = float(np.log(share / (1 - share)))
         if len(set(y)) < 2:
-            return cls({}, prior)
+            return cls({}, prior_of(y, w))
         known = Parts(100_000)
         seen = [features_of(words_of(t), known) for t in texts]
         own = y == 1
@@ -102,11 +112,16 @@ class Model:
         odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
         fit = np.flatnonzero((c1 + c0 >= least_docs) & (odds > 2.0))
         strong = names[fit[np.lexsort((names[fit], -odds[fit] * c1[fit]))[:most]]]
-        index = np.unique(np.concatenate([strong, np.array([parts_of(t.encode())[0] for t in IDENTITY_TERMS], np.uint64)]))
+        index = np.unique(np.concatenate([strong, identity_parts()]))
         other = [features_of(counterfactual(words_of(t), i), known) for i, t in enumerate(texts)]
-        (r, c), (r2, c2) = columns(seen, index), columns(other, index)
-        n, f = len(texts), len(index)
-        theta, b = np.zeros(f), prior
+        return cls.solved(index, columns(seen, index), columns(other, index), y, w, penalty, ridge, steps, rate)
+
+    @classmethod
+    def solved(cls, index: np.ndarray, ones: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], y: np.ndarray, w: np.ndarray, penalty: float = 1.0, ridge: float = 0.01, steps: int = 400, rate: float = 0.05) -> Model:
+        """ones, others: row and column numbers of the texts' and the counterfactuals' features in index."""
+        (r, c), (r2, c2) = ones, others
+        n, f = len(y), len(index)
+        theta, b = np.zeros(f), prior_of(y, w)
         m, v = np.zeros(f + 1), np.zeros(f + 1)
         for step in range(1, steps + 1):
             z = b + np.bincount(r, theta[c], n)
@@ -147,9 +162,57 @@ def scorer(packed: bytes, held: int):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 12_000, penalty: float = 1.0) -> Model:
-    """Fits on at most per_class documents of each class, none over max_chars characters."""
-    return Model.fit(*sample(docs, labels, "toxic", per_class, max_chars), penalty=penalty)
+def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y_, text_) to (y_, part): each feature of each text once."""
+    known = Parts(100_000)
+    for batch in batches:
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = features_of(words_of(text), known).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([y] * len(own), pa.int32()), pa.array(own)], names=["y_", "part"])
+
+
+def places(index: np.ndarray, numbers: dict):
+    """(id_, text_) to (n, ones, others): the text's number and which of index it and its
+    counterfactual have."""
+    schema = pa.schema([("n", pa.int32()), ("ones", pa.list_(pa.int32())), ("others", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Parts(100_000)
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                ones, others = (columns([features_of(x, known)], index)[1].tolist() for x in (words, counterfactual(words, numbers[i])))
+                rows.append({"n": numbers[i], "ones": ones, "others": others})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, penalty: float = 1.0, least_docs: int = 4, most: int = 4000) -> Model:
+    """Model.fit on at most per_class documents of each class, whole and of any length."""
+    rows, counts = sampled(docs, labels, "toxic", per_class)
+    # One row an id: of repeated ids the text with the smallest hash.
+    one = rows.groupBy("id_", "y_").agg(F.min(F.struct(F.xxhash64("text_").alias("h"), "text_")).alias("t")).select("id_", "y_", F.col("t.text_").alias("text_"))
+    texts = written(one, "toxic-sample")
+    got = sorted(tuple(r) for r in texts.select("id_", "y_").collect())
+    y = np.array([v for _, v in got], np.float64)
+    w = weights_of(y, counts)
+    try:
+        if len(set(y)) < 2:
+            return Model({}, prior_of(y, w))
+        n1, n0 = int(y.sum()), int((1 - y).sum())
+        parts = texts.select("y_", "text_").mapInArrow(features, "y_ int, part long").groupBy("part").agg(F.sum("y_").alias("c1"), F.sum(1 - F.col("y_")).alias("c0"))
+        odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
+        fit = parts.where(F.col("c1") + F.col("c0") >= least_docs).withColumn("odds", odds).where("odds > 2")
+        # The sign bit turned: in the order of unsigned numbers.
+        strong = fit.orderBy((F.col("odds") * F.col("c1")).desc(), F.col("part").bitwiseXOR(F.lit(-(1 << 63)))).limit(most).select("part").collect()
+        index = np.unique(np.concatenate([np.array([r[0] for r in strong], np.int64).view(np.uint64), identity_parts()]))
+        held = texts.select("id_", "text_").mapInArrow(places(index, {i: n for n, (i, _) in enumerate(got)}), "n int, ones array<int>, others array<int>").toPandas().sort_values("n")
+    finally:
+        remove(docs.sparkSession, texts.scratch_path)
+    ones, others = ((np.repeat(held["n"].to_numpy(), held[k].map(len)), np.concatenate(held[k].to_list()).astype(np.int64)) for k in ("ones", "others"))
+    return Model.solved(index, ones, others, y, w, penalty)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, held_words: int = 400_000) -> DataFrame:

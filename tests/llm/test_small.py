@@ -286,6 +286,22 @@ def test_classifiers_over_tables(spark, odd, empty):
     assert quality_classifier.reject_low(odd, network).columns == odd.columns
 
 
+def test_toxicity_is_fitted_on_long_documents_too(spark):
+    rng = random.Random(21)
+    texts, y = labelled(120, rng)
+    # The toxic ones over 12,000 characters, and as many long clean ones.
+    texts = [t + " " + words(rng, 2500) if v or i % 3 == 1 else t for i, (t, v) in enumerate(zip(texts, y, strict=True))]
+    assert min(len(t) for t, v in zip(texts, y, strict=True) if v) > 12_000
+    table = docs(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(0, texts[0], "a")])
+    labels = spark.createDataFrame([(i, int(1 - v), int(v)) for i, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    own = toxicity.fitted(table, labels)
+    used = [i for i in range(len(y)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = toxicity.Model.fit([texts[i] for i in used], y[used], np.ones(len(used)))
+    assert own.weights.keys() == want.weights.keys() and own.bias == pytest.approx(want.bias)
+    assert all(own.weights[k] == pytest.approx(v) for k, v in want.weights.items())
+    assert np.mean([(own.score(t) >= 0.3) == bool(v) for t, v in zip(texts, y, strict=True)]) > 0.95
+
+
 def test_network_learns_and_covers_whole_texts():
     rng = random.Random(13)
     good = [words(rng, 150) for _ in range(60)]
