@@ -14,8 +14,8 @@ the vector gives select(i), and so offset i, without a table of 64-bit offsets.
 Segments are rows of a Parquet table in ascending doc_id order: Spark's committer writes
 them to any store, whole or not at all, so a lost executor leaves no half file.
 
-Defined cases: a null text is an empty one and has the end id alone; null doc_ids
-come first; repeated doc_ids stand together, ordered by their ids' bytes; an empty table has no
+Defined cases: a null text is an empty one and has the end id alone; an added token written
+out in a text is that token, by the library's default; null doc_ids come first; repeated doc_ids stand together, ordered by their ids' bytes; an empty table has no
 segments; other columns are ignored.
 """
 
@@ -134,7 +134,9 @@ class Segment:
 #: How a text is cut into chunks whose encodings do not depend on each other. The
 #: pre-tokenizer never joins a non-space to white space after it, nor a letter or digit to a
 #: full stop or comma, so a cut at such a place changes no token. Only ' ' and '\n' count as
-#: white space here; a text with any other goes to the tokenizer in one piece.
+#: white space here; a text with any other goes to the tokenizer in one piece. An added token
+#: such as <|endoftext|> has no such place in it, so it stays in one chunk and becomes its own
+#: id, as is the library's default.
 CHUNK = re.compile(r"[ \n]?[^\W_]+(?=[ \n.,]|\Z)|[.,](?=[ \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Chunks of one leading space or line end and no other: joined, they are one text whose
@@ -150,7 +152,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         vocab = self.lib.get_vocab()
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.starts = np.zeros(max(vocab.values()) + 1, bool)

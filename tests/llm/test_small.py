@@ -146,6 +146,23 @@ def test_chunks_encode_as_whole_texts():
     assert own.encode(texts) == own.raw(texts)
 
 
+def test_added_tokens_are_the_librarys_own(spark):
+    from tokenizers import Tokenizer
+
+    path, mark = tokenizer("byte_bpe_50k.json"), "<|endoftext|>"
+    lib = Tokenizer.from_file(path)
+    texts = [f"see {mark} here", mark, f"{mark}word one", f"wo{mark}rd one", f"one word{mark}", f"a.{mark}, b", f"a  {mark}  b", f"x \n{mark}\n\ny {mark}{mark}.", f"tab\t{mark} z", "<|endoftext |> <|endoftext|"]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice([mark, " ", "\n", ".", ",", "ab", "don't", "\t", "é", "<|"]) for _ in range(12)) for _ in range(300)]
+    want = [lib.encode(t).ids for t in texts]
+    assert want[0] == [3826, 220, 50256, 994]
+    own = id_store.ChunkEncoder(path, 5000)
+    assert [np.frombuffer(b, "<u2").tolist() for b in own.encode(texts)] == want
+    assert [np.frombuffer(own.encode([t])[0], "<u2").tolist() for t in texts] == want
+    rows = id_store.documents_of(id_store.write_ids(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), path)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for w in want]
+
+
 def test_license_scan(odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
     rows = license_scan.scan_licenses(odd).collect()
