@@ -4,7 +4,7 @@ Vectors are packed into tiles (binary blocks of rows). A query tile meets a shar
 table in one cell of a grid: the grid's sides come from the row counts, so a cell holds a
 bounded number of vectors whatever the table's size. In a cell each candidate tile is
 one matrix product with the query tile, of which only the k best columns per query are
-kept; the short lists of the cells are merged in two steps (by query and salt, then by query).
+kept; the short lists of the cells are merged in two steps (by query id and salt, then by query id).
 
 Products of whole numbers are exact in double precision below 2^53; a cell with larger
 components is computed in Python integers.
@@ -12,8 +12,9 @@ components is computed in Python integers.
 Defined cases: a vector that is null, empty, or holds a null or non-finite component takes
 no part, nor does a row without an id; vectors meet only vectors of their own
 length; ties go to the smaller id; repeated ids are separate candidates, but a query never
-meets a row with its own id, and equal query rows are asked once; fewer candidates than k give what there is; an empty table
-gives no rows.
+meets a row with its own id; query rows of one id give one list of k, the best pairs of any of
+them, in which equal query rows count once; fewer candidates than k give what there is; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CELL = "query_id long, q long, vec_id long, score long"
+CELL = "query_id long, vec_id long, score long"
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -37,7 +38,7 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
     x = F.col(vector_col).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     keep = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.when(keep & ~bad, F.transform(x, lambda v: F.floor(v * scale).cast("double"))).alias("x")).where("x is not null").withColumn("key", F.xxhash64("id", "x"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.when(keep & ~bad, F.transform(x, lambda v: F.floor(v * scale).cast("double"))).alias("x")).where("x is not null")
 
 
 def packed(tile_rows: int):
@@ -46,7 +47,7 @@ def packed(tile_rows: int):
             for dim, part in pdf.groupby(pdf["x"].map(len)):
                 for at in range(0, len(part), tile_rows):
                     cut = part.iloc[at : at + tile_rows]
-                    yield pd.DataFrame({"dim": [int(dim)], "ids": [cut["id"].to_numpy(np.int64).tobytes()], "keys": [cut["key"].to_numpy(np.int64).tobytes()], "block": [np.vstack(cut["x"].to_list()).astype(np.float64).tobytes()]})
+                    yield pd.DataFrame({"dim": [int(dim)], "ids": [cut["id"].to_numpy(np.int64).tobytes()], "block": [np.vstack(cut["x"].to_list()).astype(np.float64).tobytes()]})
 
     return run
 
@@ -71,7 +72,7 @@ def cell(k: int):
     def run(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         out = []
         tiles = [(d, np.frombuffer(i, np.int64), np.frombuffer(b, np.float64)) for d, i, b in zip(shard["dim"], shard["ids"], shard["block"], strict=True)]
-        for dim, ids, keys, block in zip(queries["dim"], queries["ids"], queries["keys"], queries["block"], strict=True):
+        for dim, ids, block in zip(queries["dim"], queries["ids"], queries["block"], strict=True):
             qid, q = np.frombuffer(ids, np.int64), np.frombuffer(block, np.float64).reshape(-1, dim)
             lists: list[list] = [[] for _ in qid]
             for _, cid, c in (t for t in tiles if t[0] == dim):
@@ -81,22 +82,22 @@ def cell(k: int):
                     row, names = (scores[n], cid) if other.all() else (scores[n][other], cid[other])
                     at = best(row, names, k)
                     lists[n].append((names[at], row[at]))
-            for own, key, parts in zip(qid, np.frombuffer(keys, np.int64), lists, strict=True):
+            for own, parts in zip(qid, lists, strict=True):
                 if parts:
                     names, row = (np.concatenate(x) for x in zip(*parts, strict=True))
                     at = best(row, names, k)
-                    out.append(pd.DataFrame({"query_id": own, "q": key, "vec_id": names[at], "score": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}).astype("int64")
+                    out.append(pd.DataFrame({"query_id": own, "vec_id": names[at], "score": row[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 2048, cell_queries: int = 4096, cell_rows: int = 16384, salts: int = 16) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k best of every query row."""
+    """query_id, rank (from 1), vec_id, score of the k best of every query id."""
     exact = quantised(vectors, id_col, vector_col, scale)
     asked = quantised(vectors.where(is_query), id_col, vector_col, scale).dropDuplicates(["id", "x"])
-    blocks = written(exact.mapInPandas(packed(tile_rows), "dim int, ids binary, keys binary, block binary").withColumn("shard", F.xxhash64("ids")), "topk-tiles")
-    queries = written(asked.mapInPandas(packed(256), "dim int, ids binary, keys binary, block binary").withColumn("part", F.xxhash64("ids")), "topk-queries")
+    blocks = written(exact.mapInPandas(packed(tile_rows), "dim int, ids binary, block binary").withColumn("shard", F.xxhash64("ids")), "topk-tiles")
+    queries = written(asked.mapInPandas(packed(256), "dim int, ids binary, block binary").withColumn("part", F.xxhash64("ids")), "topk-queries")
     n_rows, n_queries = (x.agg(F.coalesce(F.sum(F.length("ids") / 8), F.lit(0))).first()[0] for x in (blocks, queries))
     across, down = max(1, math.ceil(n_queries / cell_queries)), max(1, math.ceil(n_rows / cell_rows))
     # Every query tile goes to each shard and every table tile to each query group: the grid
@@ -109,5 +110,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
         order = W.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    salted = merged(cells.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))), "query_id", "q", "salt") if down > salts else cells
-    return merged(salted, "query_id", "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    salted = merged(cells.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))), "query_id", "salt") if down > salts else cells
+    return merged(salted, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -116,6 +116,24 @@ def test_top_k(spark):
     assert topk.product(big, big).tolist() == [[2**60 + 9]]
 
 
+def test_top_k_of_repeated_ids_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from keelson.llm import queries
+
+    rng = np.random.default_rng(4)
+    # 50 and 100 have several vectors; 7 is a repeated candidate.
+    rows = [(i, rng.normal(0, 0.3, 8).round(2).tolist()) for i in [*range(120), 50, 50, 100, 7]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.OP9_SQL).fetchall())
+    got = queries.op9_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score")
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 15
+    small = topk.top_k(spark.read.parquet(str(tmp_path / "embeddings.parquet")), F.col("vec_id") % 50 == 0, tile_rows=4, cell_rows=8, cell_queries=2, salts=2)
+    assert sorted(tuple(r) for r in small.select("query_id", "rank", "vec_id", "score").collect()) == want
+
+
 def test_id_store(spark, odd, empty):
     from tokenizers import Tokenizer
 
