@@ -1,5 +1,7 @@
 """Licence notices in whole texts, exact phrases and short notices with a few errors.
 
+The longer phrases are notices too, so that they are found misspelt after any words.
+
 A text is reduced to its words (A-Z lowered; runs of ASCII letters, digits and anything
 beyond ASCII), joined by single spaces. Exact phrases are found by their padded form. For
 a notice with at most e edits, the notice is cut into e + 1 pieces: any place within e edits
@@ -40,6 +42,8 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification", "bsd", 6),
     ("subject to the terms of the mozilla public license", "mpl", 4),
     ("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    ("gnu general public license", "gpl", 2),
+    ("apache license", "apache", 1),
 )
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())])
@@ -60,9 +64,19 @@ def places(text: bytes, part: bytes, step: int = 1) -> Iterator[int]:
         at = text.find(part, at + step)
 
 
+def overlap(x: tuple, y: tuple) -> bool:
+    return y[1] < x[2] and x[1] < y[2]
+
+
+def closest(found: list[tuple]) -> list[tuple]:
+    """Of overlapping hits (label, from, to, edits) those with the fewest edits."""
+    return [x for x in found if not any(y[3] < x[3] and overlap(x, y) for y in found)]
+
+
 class Scanner:
     def __init__(self, phrases: dict = PHRASES, notices: tuple = NOTICES):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
+        self.bare = {p.encode() for p in phrases}
         self.notices = []
         for notice, label, edits in notices:
             own = notice.encode()
@@ -77,10 +91,12 @@ class Scanner:
             for a, b in windows:
                 a = max(a, done)
                 while a < b and (m := pattern.search(line, a, b)):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts), notice in self.bare))
                     done = a = max(m.end(), a + 1)
-        # Of overlapping notices those with the fewest edits stay.
-        return [x for x in found if not any(y[3] < x[3] and y[1] < x[2] and x[1] < y[2] for y in found)]
+        # A bare phrase says no more than a notice of the same label around it.
+        notices = closest([x[:4] for x in found if not x[4]])
+        bare = [x[:4] for x in found if x[4] and not any(y[0] == x[0] and overlap(x, y) for y in notices)]
+        return closest(notices + bare)
 
     def scan(self, doc_id: int | None, text: bytes | None) -> dict:
         words = (text or b"").translate(WORD_BYTES).split()

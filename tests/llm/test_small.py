@@ -200,6 +200,18 @@ def test_license_scan(odd, empty):
         assert label in own.scan(1, f"some words {line} and more".encode())["labels"].split(",")
 
 
+def test_misspelt_phrases_without_a_lead_in():
+    own = license_scan.Scanner()
+    for text, label in (("distributed under the terms of the GNU Genral Public License", "gpl"), ("the GNU Genral Public Licence, version 2", "gpl"), ("Apache Licence 2.0", "apache")):
+        r = own.scan(1, text.encode())
+        assert (r["base_labels"], r["labels"], r["n_base"]) == ("", label, 0) and 0 < r["score"] < 1 and len(r["spans"]) == 1
+    for text in ("a cache of the public library", "the general public licence office", "patch license"):
+        assert own.scan(1, text.encode())["labels"] == ""
+    # A notice around the phrase stays as the span, though the phrase alone is closer.
+    spans = own.scan(1, b"licensd undr the apache licence; then GNU Genral Public License")["spans"]
+    assert [(x["label"], x["first_word"], x["last_word"]) for x in spans] == [("apache", 0, 4), ("gpl", 6, 9)]
+
+
 def test_join_against_brute_force(spark, odd, empty):
     assert ngram_join.join(empty).count() == 0
     rng = random.Random(7)
