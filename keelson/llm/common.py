@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,26 +18,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one in local mode, in
+    which driver and executors are one process; an error on a cluster, where each machine would
+    write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        base = tempfile.mkdtemp(prefix="keelson-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base
+    if base:
+        return base
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that no later plan reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables that no later plan reads."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Scratch tables made since the start of each open `cleared` call.
+MADE: list[list[str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, by: list[str] = ()) -> None:
+    """Writes a scratch table; the shuffle files behind it go as soon as it is there."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+    if MADE:
+        MADE[-1].append(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,19 +66,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and the loss of an executor costs no recomputation beyond it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more;
-    it only learns of them from a garbage collection of the driver."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
+def cleared(make, name: str) -> DataFrame:
+    """`written` of what make() returns, without the scratch tables that it left behind."""
+    MADE.append([])
+    try:
+        out = written(make(), name)
+        made = MADE.pop()
+    except BaseException:
+        MADE.pop()
+        raise
+    remove(out.sparkSession, *[p for p in made if p != out.scratch_path])
+    if MADE:
+        MADE[-1].append(out.scratch_path)
+    return out
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 8) -> DataFrame:
+    """many joined with one, whose rows `key` tells apart, where a few keys may be those of many rows
+    of `many`: these are dealt over `salts` tasks by their column `by`."""
+    left = many.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = one.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "salt_"]).drop("salt_")
 
 
 def held_out(column: str, mod: int, at: int = 2):

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, new_path, settle, written
+from .common import held_out, new_path, write, written
 
 TOP = 5
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -338,9 +338,7 @@ def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 1_500_
     asked = blocks.select("block", "payload").mapInArrow(ask_counts(buckets), ASK).repartition("order", "bucket").sortWithinPartitions("order", "bucket", "block")
     told_kinds = "kind string, order int, bucket int, block long, hashes binary, values binary, owner binary, stats array<long>"
     path = new_path(spark, "katz-counts")
-    asked.mapInArrow(add_counts, told_kinds).write.partitionBy("kind", "order").parquet(path)
-    del asked
-    settle(spark)
+    write(asked.mapInArrow(add_counts, told_kinds), path, ["kind", "order"])
     told = spark.read.schema(told_kinds).parquet(path)
     model = told.where("kind = 'table'")
     sums = {r["order"]: list(r)[1:] for r in model.groupBy("order").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(TOP + 3)]).collect()}
@@ -354,7 +352,5 @@ def score(docs: DataFrame, mod: int = 7, at: int = 2, block_tokens: int = 1_500_
 
     sent = by_block(bodies.unionByName(counted)).mapInArrow(ask_weights(law, buckets[0]), ASK).repartition("order", "bucket").sortWithinPartitions("order", "bucket", "block")
     weights = written(sent.mapInArrow(add_weights, "kind string, order int, bucket int, block long, values binary, owner binary"), "katz-weights")
-    del sent
-    settle(spark)
     ready = by_block(bodies.unionByName(counted).unionByName(weights.select(*[x.split()[0] for x in state.split(", ")])))
     return ready.mapInArrow(evaluate(law), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,21 +1,20 @@
 """SentencePiece encoding by a streaming Viterbi, and decoding.
 
 The best segmentation is the one with the largest sum of piece scores. The encoder goes
-through a text once, one character at a time, and keeps only what can still matter: back
-pointers of a window no longer than the longest piece plus the text since the last place where
-all surviving paths meet. When every path that can still be extended runs through
-one boundary, the ids up to it are final and leave the window, so memory does not grow with
-the text.
+through a text once, one character at a time, and keeps only what can still matter: scores and
+back pointers since the last boundary through which all surviving paths run. The ids up to such
+a boundary are final and leave the window, so the window is bounded by twice the longest piece
+and the distance between such boundaries, whatever the text's length.
 
-A boundary inside no piece's pair of neighbouring characters is met by all paths at once; such
-places are known from the vocabulary, and the stretches between them recur, so their ids are
-kept in a bounded table.
+All text goes through this one encoder. Where no piece has a meta symbol after another character,
+all paths meet before every word; words recur, so the ids of words that it has been through
+are kept in a bounded table.
 
 Scores are whole numbers in models whose scores are ranks; sums are exact in 64-bit floats.
 Ties go to the path whose last piece is longest. A character in no piece becomes its bytes
 (byte fallback) at the lowest score less 10, or the unknown id in a model without byte pieces.
 
-Defined cases: a null text is an empty one and has no ids; white space is kept as it is, spaces
+Defined cases: a null text is an empty one and has no ids; a very long text is one like any other; white space is kept as it is, spaces
 as the meta symbol, with one put before the text; null ids stay; repeated rows are coded
 each; an empty table gives no rows; other columns are kept by `encode_column`.
 """
@@ -24,8 +23,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import groupby
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-LINES = re.compile(r"\n|[^\n]+")
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -56,196 +54,117 @@ class Vocabulary:
         self.lost = min(self.scores.values(), default=0.0) - 10.0
         self.longest = max(map(len, self.ids), default=1)
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.begins = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        #: The prefix tree: by character the score (None if no piece ends there), ids, and children.
+        self.tree: dict = {}
+        for piece, i in sorted(self.ids.items()):
+            level = self.tree
+            for c in piece[:-1]:
+                level = level.setdefault(c, [None, (), {}])[2]
+            node = level.setdefault(piece[-1], [None, (), {}])
+            node[0], node[1] = self.scores[piece], (i,)
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
 
-def streamed(vocabulary: Vocabulary, chars: Iterator[str]) -> Iterator[list[int]]:
+def streamed(vocabulary: Vocabulary, chars: Iterable[str]) -> Iterator[list[int]]:
     """Lists of final ids, in order, as soon as all surviving paths agree on them.
 
-    The window holds, for its place 0 .. n, the best score of a path to it and where its last
-    piece began. A path survives if it ends at one of the last `longest` places; their
-    common ancestors are final.
+    The window holds, for its place 0 .. n, the best score of a path to it, where its last piece
+    began and that piece's ids. A path survives if it ends at the last place, or at one from
+    which the text since is the beginning of a piece. Where the last place is the only one, all
+    paths meet there; else their common ancestor is looked for once the window is twice as
+    long as the longest piece, and again whenever it has doubled, so that a text on which paths
+    never meet (a long run of one letter) takes time in proportion to its length.
     """
-    v = vocabulary
-    text, score, back = "", [0.0], [-1]
-
-    def ids_of(cuts: list[int]) -> list[int]:
-        out: list[int] = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            piece = text[a:b]
-            out += [v.ids[piece]] if piece in v.ids else v.fallback(piece)
-        return out
-
-    def path(to: int) -> list[int]:
-        cuts = [to]
-        while cuts[-1] > 0:
-            cuts.append(back[cuts[-1]])
-        return cuts[::-1]
+    tree, lost, longest = vocabulary.tree, vocabulary.lost, vocabulary.longest
+    score, back, held = [0.0], [0], [()]
+    alive: list[tuple[int, dict]] = []
+    n, look = 0, 2 * longest
+
+    def ids_to(to: int) -> list[int]:
+        parts = []
+        while to:
+            parts.append(held[to])
+            to = back[to]
+        return [i for own in reversed(parts) for i in own]
 
     for char in chars:
-        text += char
-        n = len(text)
-        score.append(-np.inf)
-        back.append(n - 1)
-        for a in range(max(0, n - v.longest), n):
-            piece = text[a:n]
-            value = v.scores.get(piece, v.lost if a == n - 1 else None)
-            if value is not None and score[a] + value > score[n]:
-                score[n], back[n] = score[a] + value, a
-        # Where could a coming piece begin? Only where the text after is the start of one.
-        alive = [n, *(a for a in range(max(0, n - v.longest + 1), n) if text[a:] in v.begins)]
-        if len(alive) == 1:
-            meet = n
-        else:
-            meet, paths = 0, [set(path(a)) for a in alive]
-            for place in path(min(alive)):
-                if all(place in own for own in paths):
-                    meet = place
-        if meet > 0:
-            yield ids_of(path(meet))
-            text, base = text[meet:], score[meet]
-            score = [s - base for s in score[meet:]]
-            back = [b - meet for b in back[meet:]]
-    if text:
-        yield ids_of(path(len(text)))
-
-
-class LockStep:
-    """The same recursion over many short stretches at once, character by character.
-
-    A stretch has ends that all paths share, so each window commits at its stretch's end. Pieces
-    are followed through a table of the vocabulary's prefix tree.
-    """
-
-    def __init__(self, vocabulary: Vocabulary, classes: int = 256):
-        v = vocabulary
-        nodes = {p: i + 1 for i, p in enumerate(sorted(v.begins))}
-        usage: dict[str, int] = {}
-        for p in nodes:
-            usage[p[-1]] = usage.get(p[-1], 0) + 1
-        kept = sorted(usage, key=lambda c: (-usage[c], c))[: classes - 1]
-        self.of_char = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(kept):
-            self.of_char[ord(c)] = i + 1
-        # Node 0 is dead, the last one is the root.
-        self.root = len(nodes) + 1
-        self.next = np.zeros((self.root + 1, len(kept) + 1), np.int32)
-        self.value = np.full(self.root + 1, -np.inf)
-        self.id = np.full(self.root + 1, -1, np.int32)
-        for p, i in nodes.items():
-            k = self.of_char[ord(p[-1])]
-            if k:
-                self.next[nodes[p[:-1]] if len(p) > 1 else self.root, k] = i
-            if p in v.ids:
-                self.value[i], self.id[i] = v.scores[p], v.ids[p]
-        self.lost, self.longest = v.lost, v.longest
-
-    def run(self, words: list[str], size: int) -> list[bytes | None]:
-        """The ids of stretches of `size` characters; None where one needs the slow way."""
-        kinds = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")].reshape(-1, size).T.copy()
-        n = len(words)
-        values, ids = [], []
-        node = np.full((size, n), self.root, np.int32)
-        for k in range(min(size, self.longest)):
-            node = self.next[node[: size - k], kinds[k:]]
-            if not node.any():
-                break
-            values.append(self.value[node])
-            ids.append(self.id[node])
-        if not values:
-            return [None] * n
-        values[0][values[0] == -np.inf] = self.lost
-        reach = len(values)
-        best, back = [np.zeros(n)], [np.zeros(n, np.int64)]
-        for e in range(1, size + 1):
-            # From the longest last piece down: the first of equal sums is the longest.
-            lengths = range(min(reach, e), 0, -1)
-            sums = np.stack([best[e - k] + values[k - 1][e - k] for k in lengths])
-            first = sums.argmax(axis=0)
-            best.append(sums[first, np.arange(n)])
-            back.append(lengths[0] - first)
-        table = np.full((reach, size, n), -1, np.int32)
-        for k, own in enumerate(ids):
-            table[k, : len(own)] = own
-        back = np.stack(back)
-        rows, place = np.arange(n), np.full(n, size)
-        out, slow = np.full((n, size), -1, np.int32), (kinds == 0).any(axis=0)
-        for step in range(size - 1, -1, -1):
-            at = np.flatnonzero(place)
-            if not len(at):
-                break
-            k = back[place[at], rows[at]]
-            chosen = table[k - 1, place[at] - k, at]
-            out[at, step] = chosen
-            slow[at[chosen < 0]] = True
-            place[at] -= k
-        used = out >= 0
-        ends = np.cumsum(used.sum(axis=1)) * 4
-        flat = out[used].astype("<u4").tobytes()
-        return [None if bad else flat[a:b] for bad, a, b in zip(slow.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False)]
+        best, at, own, left = -np.inf, n, (), []
+        # From the longest last piece down: the first of equal sums is the longest.
+        for a, children in alive:
+            node = children.get(char)
+            if node is not None:
+                value, ids, more = node
+                if value is not None and score[a] + value > best:
+                    best, at, own = score[a] + value, a, ids
+                if more:
+                    left.append((a, more))
+        value, ids, more = tree.get(char, (None, (), None))
+        if value is None:
+            value, ids = lost, vocabulary.fallback(char)
+        if more:
+            left.append((n, more))
+        if score[n] + value > best:
+            best, at, own = score[n] + value, n, ids
+        n += 1
+        alive = left
+        if not alive:
+            held.append(own)
+            back.append(at)
+            yield ids_to(n)
+            score, back, held, n, look = [0.0], [0], [()], 0, 2 * longest
+            continue
+        score.append(best)
+        back.append(at)
+        held.append(own)
+        if n >= look:
+            ends = {n, *(a for a, _ in alive)}
+            while len(ends) > 1:
+                last = max(ends)
+                ends.remove(last)
+                ends.add(back[last])
+            meet = ends.pop()
+            if meet:
+                yield ids_to(meet)
+                base = score[meet]
+                score, held = [x - base for x in score[meet:]], held[meet:]
+                back = [max(0, b - meet) for b in back[meet:]]
+                alive, n = [(a - meet, more) for a, more in alive], n - meet
+            look = max(2 * longest, 2 * n)
+    if n:
+        yield ids_to(n)
 
 
 class Codec:
-    def __init__(self, path: str, held: int = 500_000, short: int = 40):
+    def __init__(self, path: str, held: int = 400_000):
         self.vocabulary = Vocabulary(path)
-        self.steps, self.short = LockStep(self.vocabulary), short
         self.held, self.known = held, {}
-        self.by_line = not any("\n" in p for p in self.vocabulary.begins)
-        # The common case: no piece has a meta symbol after another character, so every
-        # word is a stretch of its own.
+        # The common case: no piece has a meta symbol after another character, so all paths
+        # meet before every word.
         self.by_space = not any(pair[1] == SPACE and pair[0] != SPACE for pair in self.vocabulary.inside)
 
-    def stretches(self, text: str) -> list[str]:
-        """The text cut where no piece can cross."""
-        inside, out, start = self.vocabulary.inside, [], 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in inside:
-                out.append(text[start:i])
-                start = i
-        return [*out, text[start:]] if text else out
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Stretches by the lock-step way where they are short, else streamed one by one.
-
-        A line end is in no piece, so it parts a word into stretches of their own.
-        """
-        if self.by_line and any("\n" in w for w in words):
-            cut = [LINES.findall(w) if "\n" in w else [w] for w in words]
-            distinct = list(set().union(*cut))
-            known = dict(zip(distinct, self.words_of_line(distinct), strict=True))
-            return [b"".join([known[x] for x in own]) for own in cut]
-        return self.words_of_line(words)
-
-    def words_of_line(self, words: list[str]) -> list[bytes]:
-        out: dict[str, bytes | None] = {}
-        for size, own in groupby(sorted(words, key=len), key=len):
-            group = list(own)
-            if 0 < size <= self.short:
-                for at in range(0, len(group), 4096):
-                    part = group[at : at + 4096]
-                    out.update(zip(part, self.steps.run(part, size), strict=True))
-        return [got if (got := out.get(w)) is not None else self.word(w) for w in words]
-
-    def word(self, word: str) -> bytes:
-        ids = [i for s in self.stretches(word) for part in streamed(self.vocabulary, iter(s)) for i in part]
-        return np.array(ids, "<u4").tobytes()
+    def word(self, text: str) -> bytes:
+        """A stretch that no piece leaves, through the stream."""
+        out = array("I")
+        for ids in streamed(self.vocabulary, text):
+            out.extend(ids)
+        return out.tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """`encode` of each; words not met before are done together."""
-        if self.by_space:
-            new = list(set().union(*(t.split(" ") for t in texts if t)).difference(self.known))
-            got = self.words([SPACE + w for w in new])
-            if len(self.known) + len(new) <= self.held:
-                self.known.update(zip(new, got, strict=True))
-            else:
-                kept, self.known = self.known, {w: self.known[w] for w in set().union(*(t.split(" ") for t in texts if t)).intersection(self.known)} | dict(zip(new, got, strict=True))
-                out = [self.encode(t) for t in texts]
-                self.known = kept
-                return out
-        return [self.encode(t) for t in texts]
+        """`encode` of each; words not met before are kept for the next while there is room."""
+        if not self.by_space:
+            return [self.encode(t) for t in texts]
+        known, word = self.known, self.word
+        here = set().union(*(t.split(" ") for t in texts if t))
+        new = {w: word(SPACE + w) for w in here.difference(known)}
+        if len(known) + len(new) <= self.held:
+            known.update(new)
+            return [self.encode(t) for t in texts]
+        kept, self.known = known, {w: known[w] for w in here.intersection(known)} | new
+        out = [self.encode(t) for t in texts]
+        self.known = kept
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
@@ -256,7 +175,7 @@ class Codec:
             return self.word(SPACE + text.replace(" ", SPACE))
         # Parts after a single space are words; a longer run of spaces stays with its word.
         if text[0] == " " or text[-1] == " " or "  " in text:
-            return b"".join(self.words(WORDS.findall(SPACE + text.replace(" ", SPACE))))
+            return b"".join([known[w[1:]] if w[1:] in known and w[0] == SPACE else self.word(w) for w in WORDS.findall(SPACE + text.replace(" ", SPACE))])
         parts = text.split(" ")
         try:
             return b"".join(map(known.__getitem__, parts))
@@ -271,17 +190,18 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+CODECS: dict[tuple[str, int], Codec] = {}
+
+
 def worker_codec(path: str, held: int) -> Codec:
     """One codec a Python worker, kept from task to task."""
-    import sentencepiece
-
-    kept = sentencepiece.__dict__.setdefault("_keelson_codecs", {})
-    if (path, held) not in kept:
-        kept[path, held] = Codec(path, held)
-    return kept[path, held]
+    if (path, held) not in CODECS:
+        CODECS.clear()
+        CODECS[path, held] = Codec(path, held)
+    return CODECS[path, held]
 
 
-def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", held: int = 800_000) -> DataFrame:
+def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", held: int = 400_000) -> DataFrame:
     """The documents with their ids (array of int) in a column ids_col, replacing one of that
     name."""
     base = docs.drop(ids_col)
@@ -306,7 +226,7 @@ def decode_column(coded: DataFrame, model: str, ids_col: str = "ids", text_col:
     at = base.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_codec(model, 100)
+        own = Codec(model, 0)
         for batch in batches:
             texts = [None if x is None else own.decode(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
@@ -314,7 +234,7 @@ def decode_column(coded: DataFrame, model: str, ids_col: str = "ids", text_col:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", held: int = 800_000) -> DataFrame:
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", held: int = 400_000) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and whether decoding gives the text back, per document.
 
     The round trip is checked on the pieces' text: ids are decoded stretch by stretch.

@@ -13,8 +13,9 @@ Defined cases: a vector that is null, empty, or holds a null or non-finite compo
 no part, nor does a row without an id; vectors meet only vectors of their own
 length; ties go to the smaller id; repeated ids are separate candidates, but a query never
 meets a row with its own id; query rows of one id give one list of k, the best pairs of any of
-them, in which equal query rows count once; fewer candidates than k give what there is; an empty
-table gives no rows.
+them, in which rows equal in vector too count once or, with each_row, as often as there are;
+fewer candidates than k give what there is; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -92,10 +93,11 @@ def cell(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 2048, cell_queries: int = 4096, cell_rows: int = 16384, salts: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 2048, cell_queries: int = 4096, cell_rows: int = 16384, salts: int = 16, each_row: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best of every query id."""
     exact = quantised(vectors, id_col, vector_col, scale)
-    asked = quantised(vectors.where(is_query), id_col, vector_col, scale).dropDuplicates(["id", "x"])
+    asked = quantised(vectors.where(is_query), id_col, vector_col, scale)
+    asked = asked if each_row else asked.dropDuplicates(["id", "x"])
     blocks = written(exact.mapInPandas(packed(tile_rows), "dim int, ids binary, block binary").withColumn("shard", F.xxhash64("ids")), "topk-tiles")
     queries = written(asked.mapInPandas(packed(256), "dim int, ids binary, block binary").withColumn("part", F.xxhash64("ids")), "topk-queries")
     n_rows, n_queries = (x.agg(F.coalesce(F.sum(F.length("ids") / 8), F.lit(0))).first()[0] for x in (blocks, queries))
