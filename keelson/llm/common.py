@@ -95,6 +95,15 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int =
     return left.join(right, [key, "salt_"]).drop("salt_")
 
 
+def hot_join(many: DataFrame, one: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """many joined with one, which has a row a key and tells by `size` how many rows of `many` have
+    it, of `total`. Keys with over 1 / share of all rows, of which there are fewer than `share`,
+    are broadcast; their rows are not moved."""
+    hot = F.col(size) * share > total
+    rest = many.join(F.broadcast(one.where(hot).select(key)), key, "left_anti").join(one.where(~hot), key)
+    return many.join(F.broadcast(one.where(hot)), key).unionByName(rest)
+
+
 def held_out(column: str, mod: int, at: int = 2):
     """Whether crc32 of the id as text, modulo mod, is `at`."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod == at, F.lit(False))

@@ -15,13 +15,17 @@
    row a class (number of links, smallest linked class), never its pairs.
 4. Linked classes are joined to components by min-label rounds.
 
+Copies of one text are one class, and the rows of a node or class that holds more than a
+thousandth of all are joined where they are; those of a component's label are dealt out.
+
 Result per document: doc_id, class_id (the smallest doc_id of its component), n_copies
 (documents with its set), n_links (other documents at the similarity or above).
 
 Defined cases: words are runs of non-blank ASCII; a text of one to four words has one
 shingle, all of them; null, empty and blank texts have none and are copies of each other; null
 doc_ids are kept (class_id is the smallest id that is not null); repeated rows are copies;
-an empty table gives no rows; other columns are ignored.
+a very long text is one set of shingles, whole; an empty table gives no rows; other columns are
+ignored, whatever their names. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, remove, salted_join, written
 
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -165,14 +169,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
 def to_compare(leaf: int, blocks: tuple[int, int], rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """A mask of the pairs that are this cell's own: the first shared leaf is this one,
     and the blocks differ or the pair is in order. rows: (block, leaves)."""
-    n = len(rows)
     at = np.array([r[0] for r in rows])
-    earlier = [[x for x in r[1] if x < leaf] for r in rows]
-    names = {x: i for i, x in enumerate(sorted({x for own in earlier for x in own}))}
-    seen = np.zeros((n, len(names)), np.float32)
-    for i, own in enumerate(earlier):
-        seen[i, [names[x] for x in own]] = 1
-    fresh = (seen @ seen.T) == 0
+    fresh = shared_counts([np.array([x for x in r[1] if x < leaf], np.int64) for r in rows]) == 0
     if blocks[0] == blocks[1]:
         return np.triu(fresh, 1), at
     return fresh & (at[:, None] == blocks[0]) & (at[None] == blocks[1]), at
@@ -212,7 +210,8 @@ def prefilter(least: int):
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections: products of incidence columns."""
+    """Sizes of all pairwise intersections: products of incidence columns, 4,096 at a time, of
+    the members that two sets or more have."""
     flat, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     column = np.cumsum(counts > 1) - 1
@@ -281,32 +280,41 @@ def leaves_of(classes: DataFrame, similarity: float, t: int, recall: float, dept
     choose = chooser(t, 1 / (similarity * t), runs_for(recall, depth))
     sketched = classes.where("sketch is not null").select("cid", "sketch")
     active = sketched.select(F.lit(None).cast("long").alias("node"), "cid", "sketch")
-    done = None
+    done, kept = None, []
     for level in range(1, depth + 1):
         rows = written(active.mapInArrow(choose, "node long, cid binary"), f"join-level{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        alive = written(rows.join(sizes, "node").select("node", "cid", "size"), f"join-alive{level}")
+        sizes = written(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), f"join-sizes{level}")
+        alive = written(hot_join(rows, sizes, "node", "size", rows.count()).select("node", "cid", "size"), f"join-alive{level}")
+        remove(classes.sparkSession, rows.scratch_path, sizes.scratch_path)
+        kept.append(alive.scratch_path)
         ended = alive if level == depth else alive.where(F.col("size") <= leaf_limit)
         done = ended if done is None else done.unionByName(ended)
         if level < depth:
             active = alive.where(F.col("size") > leaf_limit).join(sketched, "cid").select("node", "cid", "sketch")
-    return done.select(F.col("node").alias("leaf"), "cid", "size")
+    out = done.select(F.col("node").alias("leaf"), "cid", "size")
+    out.scratch_paths = kept
+    return out
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(cid, component): the smallest cid each can reach, by rounds of taking the neighbours'
-    smallest label and then that label's own label."""
+    smallest label and then that label's own label, until no label moves. Labels only fall
+    and each round halves the way to the smallest, so there is an end. The rows of a label that
+    many classes have are dealt over several tasks."""
+    spark = edges.sparkSession
     both = written(edges.unionByName(edges.select(F.col("label").alias("cid"), F.col("cid").alias("label"))).where("cid <> label").distinct(), "join-edges")
     labels = written(both.groupBy("cid").agg(F.least("cid", F.min("label")).alias("component")), "join-labels")
-    for _ in range(max_rounds):
-        near_by = both.join(labels.withColumnRenamed("cid", "label"), "label").groupBy("cid").agg(F.min("component").alias("low"))
+    while True:
+        near_by = salted_join(both, labels.withColumnRenamed("cid", "label"), "label", "cid").groupBy("cid").agg(F.min("component").alias("low"))
         step = labels.join(near_by, "cid").select("cid", F.least("component", "low").alias("next"), "component")
         jump = step.select(F.col("cid").alias("next"), F.col("next").alias("further"))
-        new = written(step.join(jump, "next").select("cid", F.least("next", "further").alias("component"), (F.least("next", "further") != F.col("component")).alias("moved")), "join-labels")
+        new = written(salted_join(step, jump, "next", "cid").select("cid", F.least("next", "further").alias("component"), (F.least("next", "further") != F.col("component")).alias("moved")), "join-labels")
+        remove(spark, labels.scratch_path)
         labels = new.select("cid", "component")
+        labels.scratch_path = new.scratch_path
         if not new.where("moved").limit(1).count():
+            remove(spark, both.scratch_path)
             return labels
-    raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
 def join(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t: int = 128, recall: float = 0.999, depth: int = 3, leaf_limit: int = 64, block: int = 1024, held_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,5 +347,6 @@ def join(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t: int = 12
     labels = components(found.select("cid", "label"))
     named = classes.select("cid", "n_docs", "min_id").join(links, "cid", "left").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("min_id").alias("class_id"))
-    out = named.join(smallest, "component").select("cid", "class_id", F.col("n_docs").alias("n_copies"), (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sketched.select("doc_id", "cid").join(out, "cid").select("doc_id", "class_id", "n_copies", "n_links")
+    out = written(salted_join(named, smallest, "component", "cid").select("cid", "class_id", F.col("n_docs").alias("n_copies"), (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-classes-named")
+    remove(docs.sparkSession, classes.scratch_path, found.scratch_path, labels.scratch_path, needed.scratch_path, info.scratch_path, *leaves.scratch_paths)
+    return hot_join(sketched.select("doc_id", "cid"), out, "cid", "n_copies", sketched.count()).select("doc_id", "class_id", "n_copies", "n_links")
