@@ -15,8 +15,10 @@ Segments are rows of a Parquet table in ascending doc_id order: Spark's committe
 them to any store, whole or not at all, so a lost executor leaves no half file.
 
 Defined cases: a null text is an empty one and has the end id alone; an added token written
-out in a text is that token, by the library's default; null doc_ids come first; repeated doc_ids stand together, ordered by their ids' bytes; an empty table has no
-segments; other columns are ignored.
+out in a text is that token, by the library's default; a very long text is encoded whole and is
+one document of a segment; null doc_ids come first; repeated doc_ids stand together, ordered by
+their ids' bytes (of an id with more rows than a shard, by a digest of them first); an empty
+table has no segments; other columns are ignored, whatever their names. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ from .common import written
 
 MAGIC = b"KEF1"
 BLOCK_BITS = 512
+#: Where null ids stand: before all others.
+NULL_ID = -(1 << 63)
 
 
 class EliasFano:
@@ -227,14 +231,25 @@ class ChunkEncoder:
         return out
 
 
+ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
 def worker_encoder(path: str, held: int) -> ChunkEncoder:
     """One encoder a Python worker, kept from task to task."""
-    import tokenizers
+    if (path, held) not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path, held] = ChunkEncoder(path, held)
+    return ENCODERS[path, held]
+
 
-    kept = tokenizers.__dict__.setdefault("_keelson_encoders", {})
-    if (path, held) not in kept:
-        kept[path, held] = ChunkEncoder(path, held)
-    return kept[path, held]
+def shards_of(ids: np.ndarray, blobs: list[bytes], bounds: np.ndarray) -> np.ndarray:
+    """The shard of each document: the number of bounds up to its id. An id that is m bounds, so
+    that it has about m shards of rows, is dealt over as many by a digest of the document's ids."""
+    below, upto = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    out = upto.copy()
+    for i in np.flatnonzero(upto - below > 1):
+        out[i] = below[i] + 1 + zlib.crc32(blobs[i]) % (upto[i] - below[i])
+    return out
 
 
 def encoder(path: str, bounds: np.ndarray, end_id: int | None, held: int):
@@ -250,7 +265,7 @@ def encoder(path: str, bounds: np.ndarray, end_id: int | None, held: int):
                 for at in range(0, len(batch), 1024):
                     ids = names.slice(at, 1024)
                     blobs = [b + end for b in own.encode([t or "" for t in texts.slice(at, 1024).to_pylist()])]
-                    shard = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
+                    shard = shards_of(ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False), blobs, bounds)
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(blobs, pa.binary())], schema=schema)
         finally:
             gc.enable()
@@ -282,32 +297,30 @@ def packer(width: int, segment_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, segment_ids: int = 1 << 20, held_chunks: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 16384, max_shards: int = 10_000, segment_ids: int = 1 << 20, held_chunks: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes their segments, ascending in doc_id; returns the table of
     segments (shard, segment, n_ids, payload) as read back from the shared folder.
 
     Shard bounds are quantiles of the ids, from a scan of the id column alone, so texts are
-    encoded once and moved once, straight to the shard they belong to.
+    encoded once and moved once, straight to the shard they belong to. There are at most
+    max_shards of them, whatever the input; a shard is sorted with spilling and cut into segments
+    of segment_ids ids, so its size bounds no memory.
     """
     from tokenizers import Tokenizer
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_shards = max(1, math.ceil(rows.count() / docs_per_shard))
+    n_shards = min(max_shards, max(1, math.ceil(rows.count() / docs_per_shard)))
     bounds = np.array([], np.int64)
     if n_shards > 1:
         shares = [i / n_shards for i in range(1, n_shards)]
-        got = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 100 * n_shards))).first()[0]
-        bounds = np.unique(np.array(got or [], np.int64))
+        got = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NULL_ID)), shares, max(10_000, 20 * n_shards))).first()[0]
+        bounds = np.sort(np.array(got or [], np.int64))
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     coded = rows.mapInArrow(encoder(tokenizer, bounds, end_id, held_chunks), "shard int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     return written(dealt.mapInArrow(packer(width, segment_ids), "shard int, segment int, n_ids long, payload binary"), "id-segments")
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
@@ -321,7 +334,11 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def documents_of(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the segments' bytes."""
-    order = W.orderBy("shard", "segment").rowsBetween(W.unboundedPreceding, -1)
-    bases = segments.select("shard", "segment", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    sizes = segments.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
+    # One row a shard, of which there is a bounded number; then within each shard.
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("shard").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("shard", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("shard_base"))
+    bases = segments.select("shard", "segment", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("own")).join(starts, "shard").select("shard", "segment", (F.col("shard_base") + F.col("own")).alias("base"))
     each = segments.select("shard", "segment", "payload").mapInArrow(digests, "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return each.join(bases, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
