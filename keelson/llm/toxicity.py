@@ -1,7 +1,8 @@
 """Toxicity by a logistic model whose scores hold still when identity terms are swapped.
 
-Features are words and word beginnings found in the labelled sample, kept where they set the
-classes apart, and all identity terms. For every labelled text a counterfactual is made: its
+Features are words and word beginnings found in the labelled sample, in least_docs texts or more,
+whose log-odds for the toxic class are over least_odds, and all identity terms. A model has at most
+`most` of them, those that set the classes apart most; both are parameters of `fitted`. For every labelled text a counterfactual is made: its
 identity terms replaced by others, or, where it has none, a neutral mention added. The fit
 minimises log loss plus `penalty` times the squared change of the log-odds from text to
 counterfactual, so that the mention of a group moves no score by itself.
@@ -11,9 +12,11 @@ the fit: the sample is bounded by rows, not by length. Its texts stay on the exe
 their features and then say which of the chosen ones each text has, so that what reaches
 the driver does not grow with the texts.
 
-Defined cases: a null or empty text scores as one without features; null ids are not
+Defined cases: a null or empty text scores as one without features; a very long one by its set
+of features like any other; null ids are not
 held out; repeated rows score alike; with no labelled rows (or one class only) the score is
-that class's share, smoothed; an empty table gives no rows; other columns are ignored.
+that class's share, smoothed; an empty table gives no rows; other columns are ignored, whatever
+their names, and `reject_toxic` keeps them. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ class Model:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, texts: list[str], y: np.ndarray, w: np.ndarray, penalty: float = 1.0, ridge: float = 0.01, steps: int = 400, rate: float = 0.05, least_docs: int = 4, most: int = 4000) -> Model:
+    def fit(cls, texts: list[str], y: np.ndarray, w: np.ndarray, penalty: float = 1.0, ridge: float = 0.01, steps: int = 400, rate: float = 0.05, least_docs: int = 4, most: int = 4000, least_odds: float = 2.0) -> Model:
         if len(set(y)) < 2:
             return cls({}, prior_of(y, w))
         known = Parts(100_000)
@@ -110,7 +113,7 @@ class Model:
         toxic = np.repeat(own, [len(x) for x in seen])
         c1, c0 = (np.bincount(where[m], minlength=len(names)) for m in (toxic, ~toxic))
         odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-        fit = np.flatnonzero((c1 + c0 >= least_docs) & (odds > 2.0))
+        fit = np.flatnonzero((c1 + c0 >= least_docs) & (odds > least_odds))
         strong = names[fit[np.lexsort((names[fit], -odds[fit] * c1[fit]))[:most]]]
         index = np.unique(np.concatenate([strong, identity_parts()]))
         other = [features_of(counterfactual(words_of(t), i), known) for i, t in enumerate(texts)]
@@ -189,7 +192,7 @@ def places(index: np.ndarray, numbers: dict):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, penalty: float = 1.0, least_docs: int = 4, most: int = 4000) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, penalty: float = 1.0, least_docs: int = 4, most: int = 4000, least_odds: float = 2.0) -> Model:
     """Model.fit on at most per_class documents of each class, whole and of any length."""
     rows, counts = sampled(docs, labels, "toxic", per_class)
     # One row an id: of repeated ids the text with the smallest hash.
@@ -204,7 +207,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, penalty: f
         n1, n0 = int(y.sum()), int((1 - y).sum())
         parts = texts.select("y_", "text_").mapInArrow(features, "y_ int, part long").groupBy("part").agg(F.sum("y_").alias("c1"), F.sum(1 - F.col("y_")).alias("c0"))
         odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-        fit = parts.where(F.col("c1") + F.col("c0") >= least_docs).withColumn("odds", odds).where("odds > 2")
+        fit = parts.where(F.col("c1") + F.col("c0") >= least_docs).withColumn("odds", odds).where(F.col("odds") > least_odds)
         # The sign bit turned: in the order of unsigned numbers.
         strong = fit.orderBy((F.col("odds") * F.col("c1")).desc(), F.col("part").bitwiseXOR(F.lit(-(1 << 63)))).limit(most).select("part").collect()
         index = np.unique(np.concatenate([np.array([r[0] for r in strong], np.int64).view(np.uint64), identity_parts()]))
@@ -215,14 +218,14 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, penalty: f
     return Model.solved(index, ones, others, y, w, penalty)
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, held_words: int = 400_000) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, held_words: int = 200_000) -> DataFrame:
     """doc_id, held_out, score, predicted (1 at or above the threshold)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out("doc_id", 4).alias("held_out"))
     scored = rows.mapInArrow(scorer(pickle.dumps(model), held_words), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, held_words: int = 400_000) -> DataFrame:
+def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, held_words: int = 200_000) -> DataFrame:
     """The documents below the threshold, with all their columns."""
     packed, at = pickle.dumps(model), docs.columns.index("text")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import common, queries, sentencepiece_codec
+from keelson.llm import common, id_store, ngram_join, queries, sentencepiece_codec
 
 
 def test_equal_query_rows_as_in_sql(spark, tmp_path):
@@ -116,3 +116,64 @@ def test_words_beyond_the_table_are_coded_alike():
     texts = ["a b c d e", "  a  b", "f g h a", None, "", " ", "x\ny z", "a b q r s t u v"]
     assert small.encode_all(texts) == large.encode_all(texts) == [large.encode(t) for t in texts]
     assert len(small.known) <= 3
+
+
+def test_hot_and_null_ids_are_dealt_over_shards(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rows = [(5, f"hot {i}", "a") for i in range(60)] + [(None, f"null {i}", "b") for i in range(30)] + [(i, f"plain {i}", "c") for i in range(-20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(5)
+    segments = id_store.write_ids(docs, path, docs_per_shard=10, segment_ids=16)
+    hot = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
+    assert len(hot) > 8 and max(r["n"] for r in hot) < 0.35 * sum(r["n"] for r in hot)
+    got = id_store.documents_of(segments).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    crc = lambda t: zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((repr(r.doc_id), r.ids_crc32) for r in got) == sorted((repr(i), crc(t)) for i, t, _ in rows)
+
+
+def test_near_copies_are_found(spark):
+    """Recall of near copies against brute force, on a table with thousands of linked pairs."""
+    import itertools
+    import random
+
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randint(0, 4000)}"
+    rows, base = [], 0
+    for _ in range(120):
+        text = [word() for _ in range(rng.randint(60, 160))]
+        for _ in range(10):
+            copy = list(text)
+            # One changed word in n words costs about five shingles of n: similarities about 0.8.
+            for _ in range(rng.randint(0, max(1, len(copy) // 45))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((base, " ".join(copy)))
+            base += 1
+    rows += [(base + i, " ".join(word() for _ in range(80))) for i in range(300)]
+    sets = [frozenset(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in rows]
+    links, pairs = [0] * len(rows), 0
+    for a in range(0, 1200, 10):
+        for x, y in itertools.combinations(range(a, a + 10), 2):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                links[x], links[y], pairs = links[x] + 1, links[y] + 1, pairs + 1
+    got = {r.doc_id: r.n_links for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), leaf_limit=16, block=64).collect()}
+    found = sum(got.values()) / 2
+    assert pairs > 2000 and all(got[i] <= n for i, n in enumerate(links))
+    assert found >= 0.995 * pairs, (found, pairs)
+
+
+def test_one_hub_with_many_spokes(spark):
+    """A component that is a long chain and one that is a star, by rounds without a limit."""
+    chain = [(bytes([0, i // 256, i % 256]), bytes([0, (i + 1) // 256, (i + 1) % 256])) for i in range(700)]
+    star = [(bytes([9, i // 256, i % 256]), bytes([1, 0, 0])) for i in range(500)]
+    edges = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in chain + star], "cid binary, label binary")
+    got = {bytes(r.cid): bytes(r.component) for r in ngram_join.components(edges).collect()}
+    assert {got[a] for pair in chain for a in pair} == {bytes([0, 0, 0])} and {got[a] for pair in star for a in pair} == {bytes([1, 0, 0])}
