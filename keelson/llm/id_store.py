@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,7 +161,7 @@ class ChunkEncoder:
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
-        self.held, self.chunks, self.parts, self.stems = held, {}, {}, {}
+        self.held, self.chunks, self.parts = held, {}, {}
         self.marks = {m: self.raw([m])[0] for m in (".", ",")}
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -195,39 +196,42 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts without other white space than single inner spaces and line ends fall apart
-        at the spaces; `parts` knows the ids of " " + part. Tables grow up to `held` entries;
-        what comes later is encoded for this call only."""
+        at the spaces. Arrow splits them and tells the distinct parts; Python looks up each of
+        these once, and their ids are gathered in the order of the texts in one buffer."""
         even = [bool(t) and t[0] != " " and t[-1] != " " and "  " not in t and " \n" not in t and "\n " not in t and not OTHER_SPACE.search(t) for t in texts]
-        split = [t.split(" ") if ok else [t] for t, ok in zip(texts, even, strict=True)]
-        heads = self.pieces([parts[0] for parts in split], False)
-        words = set().union(*split)
-        new = words.difference(self.parts)
-        own = self.after_space(new)
-        table = self.parts
-        if len(table) + len(own) <= self.held:
-            table.update(own)
-        else:
-            table = {p: own[p] if p in own else table[p] for p in words}
-        return [b"".join([head, *map(table.__getitem__, parts[1:])]) for head, parts in zip(heads, split, strict=True)]
-
-    def after_space(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of " " + part. Most parts are a stem of letters and digits, or one and a mark."""
-        plain = {p for p in new if p.isalnum()}
-        marked = {p: p[:-1] for p in new.difference(plain) if p[-1:] in (".", ",") and p[:-1].isalnum()}
-        stems = plain.union(marked.values())
-        fresh = sorted(stems.difference(self.stems))
-        found = {}
-        for at in range(0, len(fresh), 100):
-            part = fresh[at : at + 100]
-            found.update(zip(part, self.together([" " + x for x in part]), strict=True))
-        if len(self.stems) + len(found) <= self.held * 7 // 10:
-            self.stems.update(found)
-        get, held = found.get, self.stems.get
-        out = {p: get(p) or held(p) for p in plain}
-        for p, stem in marked.items():
-            out[p] = (get(stem) or held(stem)) + self.marks[p[-1]]
-        rest = [p for p in new if p not in out]
-        out.update(zip(rest, self.pieces([" " + p for p in rest], True), strict=True))
+        out = self.pieces([t.split(" ", 1)[0] if ok else t for t, ok in zip(texts, even, strict=True)], False)
+        at = [i for i, ok in enumerate(even) if ok]
+        split = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
+        parts = split.values.dictionary_encode()
+        ids = pa.array(self.after_space(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
+        bounds = split.offsets.to_numpy()
+        flat = memoryview(ids.buffers()[2] or b"")
+        for i, a, b in zip(at, ends[np.minimum(bounds[:-1] + 1, bounds[1:])].tolist(), ends[bounds[1:]].tolist(), strict=True):
+            out[i] += flat[a:b]
+        return out
+
+    def after_space(self, parts: list[str]) -> list[bytes]:
+        """The ids of " " + each of the distinct parts. Most are letters and digits, some with a
+        mark that is a token of its own behind them; the table holds them without it, up to
+        `held` of them, and what comes later is encoded for this call only."""
+        get, marks = self.parts.get, self.marks
+        out = list(map(get, parts))
+        late = [i for i, ids in enumerate(out) if ids is None]
+        stems = [p[:-1] if (p := parts[i])[-1:] in marks and p[:-1].isalnum() else p for i in late]
+        fresh = {p for p in stems if p not in self.parts}
+        plain = [p for p in fresh if p.isalnum()]
+        rest = list(fresh.difference(plain))
+        found = dict(zip(rest, self.pieces([" " + p for p in rest], True), strict=True))
+        for a in range(0, len(plain), 100):
+            some = plain[a : a + 100]
+            found.update(zip(some, self.together([" " + p for p in some]), strict=True))
+        for i, stem in zip(late, stems, strict=True):
+            part = parts[i]
+            ids = found[stem] if stem in found else get(stem)
+            out[i] = ids if stem is part else ids + marks[part[-1]]
+        if len(self.parts) + len(found) <= self.held:
+            self.parts.update(found)
         return out
 
 
@@ -262,9 +266,9 @@ def encoder(path: str, bounds: np.ndarray, end_id: int | None, held: int):
         try:
             for batch in batches:
                 names, texts = batch.column(0), batch.column(1)
-                for at in range(0, len(batch), 1024):
-                    ids = names.slice(at, 1024)
-                    blobs = [b + end for b in own.encode([t or "" for t in texts.slice(at, 1024).to_pylist()])]
+                for at in range(0, len(batch), 4096):
+                    ids = names.slice(at, 4096)
+                    blobs = [b + end for b in own.encode([t or "" for t in texts.slice(at, 4096).to_pylist()])]
                     shard = shards_of(ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False), blobs, bounds)
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(blobs, pa.binary())], schema=schema)
         finally:
