@@ -95,6 +95,20 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int =
     return left.join(right, [key, "salt_"]).drop("salt_")
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the machine: workers are kept from task to task
+    and from stage to stage, and so would their largest size be."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def hot_join(many: DataFrame, one: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
     """many joined with one, which has a row a key and tells by `size` how many rows of `many` have
     it, of `total`. Keys with over 1 / share of all rows, of which there are fewer than `share`,

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 
 MAGIC = b"KEF1"
 BLOCK_BITS = 512
@@ -273,6 +273,7 @@ def encoder(path: str, bounds: np.ndarray, end_id: int | None, held: int):
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(blobs, pa.binary())], schema=schema)
         finally:
             gc.enable()
+            give_back()
 
     return run
 
@@ -301,7 +302,7 @@ def packer(width: int, segment_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 16384, max_shards: int = 10_000, segment_ids: int = 1 << 20, held_chunks: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, max_shards: int = 10_000, segment_ids: int = 1 << 20, held_chunks: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes their segments, ascending in doc_id; returns the table of
     segments (shard, segment, n_ids, payload) as read back from the shared folder.
 
