@@ -162,7 +162,8 @@ class ChunkEncoder:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
         self.held, self.chunks, self.parts = held, {}, {}
-        self.marks = {m: self.raw([m])[0] for m in (".", ",")}
+        # A text ends before an added token, and two line ends at an end are one token.
+        self.cuts = ["\n\n" + t.content for t in self.lib.get_added_tokens_decoder().values()]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,43 +196,38 @@ class ChunkEncoder:
         return [b"".join([held(c) or get(c, b"") for c in parts]) for parts in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts without other white space than single inner spaces and line ends fall apart
-        at the spaces. Arrow splits them and tells the distinct parts; Python looks up each of
-        these once, and their ids are gathered in the order of the texts in one buffer."""
-        even = [bool(t) and t[0] != " " and t[-1] != " " and "  " not in t and " \n" not in t and "\n " not in t and not OTHER_SPACE.search(t) for t in texts]
-        out = self.pieces([t.split(" ", 1)[0] if ok else t for t, ok in zip(texts, even, strict=True)], False)
+        """Texts without other white space than single inner spaces and up to two line ends fall
+        apart before each of these: the pre-tokenizer joins nothing across such a place. Arrow
+        splits them and tells the distinct parts; Python looks up each of these once, and
+        their ids are gathered in the order of the texts in one buffer."""
+        even = [bool(t) and t[0] not in " \n" and t[-1] not in " \n" and "  " not in t and " \n" not in t and "\n " not in t and "\n\n\n" not in t and not any(c in t for c in self.cuts) and not OTHER_SPACE.search(t) for t in texts]
         at = [i for i, ok in enumerate(even) if ok]
-        split = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
-        parts = split.values.dictionary_encode()
-        ids = pa.array(self.after_space(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        split = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in at], pa.large_string()), "\n", " \n"), " ")
+        bounds, words = split.offsets.to_numpy(), split.values
+        out = texts.copy()
+        for i, head in zip(at, words.take(pa.array(bounds[:-1])).to_pylist(), strict=True):
+            out[i] = head
+        out = self.pieces(out, False)
+        parts = words.dictionary_encode()
+        ids = pa.array(self.after_break(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
-        bounds = split.offsets.to_numpy()
         flat = memoryview(ids.buffers()[2] or b"")
-        for i, a, b in zip(at, ends[np.minimum(bounds[:-1] + 1, bounds[1:])].tolist(), ends[bounds[1:]].tolist(), strict=True):
+        for i, a, b in zip(at, ends[bounds[:-1] + 1].tolist(), ends[bounds[1:]].tolist(), strict=True):
             out[i] += flat[a:b]
         return out
 
-    def after_space(self, parts: list[str]) -> list[bytes]:
-        """The ids of " " + each of the distinct parts. Most are letters and digits, some with a
-        mark that is a token of its own behind them; the table holds them without it, up to
-        `held` of them, and what comes later is encoded for this call only."""
-        get, marks = self.parts.get, self.marks
-        out = list(map(get, parts))
+    def after_break(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of the distinct parts with the space before it, or the line end that it
+        begins with. The table grows up to `held` parts; what comes later is encoded for
+        this call only."""
+        out = list(map(self.parts.get, parts))
         late = [i for i, ids in enumerate(out) if ids is None]
-        stems = [p[:-1] if (p := parts[i])[-1:] in marks and p[:-1].isalnum() else p for i in late]
-        fresh = {p for p in stems if p not in self.parts}
-        plain = [p for p in fresh if p.isalnum()]
-        rest = list(fresh.difference(plain))
-        found = dict(zip(rest, self.pieces([" " + p for p in rest], True), strict=True))
-        for a in range(0, len(plain), 100):
-            some = plain[a : a + 100]
-            found.update(zip(some, self.together([" " + p for p in some]), strict=True))
-        for i, stem in zip(late, stems, strict=True):
-            part = parts[i]
-            ids = found[stem] if stem in found else get(stem)
-            out[i] = ids if stem is part else ids + marks[part[-1]]
-        if len(self.parts) + len(found) <= self.held:
-            self.parts.update(found)
+        for a in range(0, len(late), 200):
+            some = late[a : a + 200]
+            for i, ids in zip(some, self.together([p if (p := parts[i])[0] == "\n" else " " + p for i in some]), strict=True):
+                out[i] = ids
+        if len(self.parts) + len(late) <= self.held:
+            self.parts.update((parts[i], out[i]) for i in late)
         return out
 
 
