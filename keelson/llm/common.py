@@ -109,6 +109,18 @@ def give_back() -> None:
         return  # another C library
 
 
+def tidy(run):
+    """A mapInArrow function that gives back what it used when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def hot_join(many: DataFrame, one: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
     """many joined with one, which has a row a key and tells by `size` how many rows of `many` have
     it, of `total`. Keys with over 1 / share of all rows, of which there are fewer than `share`,

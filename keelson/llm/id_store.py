@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, written
+from .common import tidy, written
 
 MAGIC = b"KEF1"
 BLOCK_BITS = 512
@@ -269,7 +269,6 @@ def encoder(path: str, bounds: np.ndarray, end_id: int | None, held: int):
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(blobs, pa.binary())], schema=schema)
         finally:
             gc.enable()
-            give_back()
 
     return run
 
@@ -317,7 +316,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_
         got = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NULL_ID)), shares, max(10_000, 20 * n_shards))).first()[0]
         bounds = np.sort(np.array(got or [], np.int64))
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
-    coded = rows.mapInArrow(encoder(tokenizer, bounds, end_id, held_chunks), "shard int, doc_id long, ids binary")
+    coded = rows.mapInArrow(tidy(encoder(tokenizer, bounds, end_id, held_chunks)), "shard int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     return written(dealt.mapInArrow(packer(width, segment_ids), "shard int, segment int, n_ids long, payload binary"), "id-segments")
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, remove, salted_join, written
+from .common import hot_join, remove, salted_join, tidy, written
 
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -282,7 +282,7 @@ def leaves_of(classes: DataFrame, similarity: float, t: int, recall: float, dept
     active = sketched.select(F.lit(None).cast("long").alias("node"), "cid", "sketch")
     done, kept = None, []
     for level in range(1, depth + 1):
-        rows = written(active.mapInArrow(choose, "node long, cid binary"), f"join-level{level}")
+        rows = written(active.mapInArrow(tidy(choose), "node long, cid binary"), f"join-level{level}")
         sizes = written(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), f"join-sizes{level}")
         alive = written(hot_join(rows, sizes, "node", "size", rows.count()).select("node", "cid", "size"), f"join-alive{level}")
         remove(classes.sparkSession, rows.scratch_path, sizes.scratch_path)
@@ -320,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t: int = 128, recall: float = 0.999, depth: int = 3, leaf_limit: int = 64, block: int = 1024, held_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_copies, n_links per document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = written(rows.mapInArrow(sketcher(shingle, t, held_words), "doc_id long, cid binary, sketch binary"), "join-sketches")
+    sketched = written(rows.mapInArrow(tidy(sketcher(shingle, t, held_words)), "doc_id long, cid binary, sketch binary"), "join-sketches")
     classes = written(sketched.groupBy("cid").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("min_id"), F.any_value("sketch").alias("sketch")), "join-classes")
     leaves = leaves_of(classes, similarity, t, recall, depth, leaf_limit)
     lists = leaves.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
@@ -335,14 +335,14 @@ def join(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t: int = 12
     light = cells.join(info.select("cid", "leaves", bytes_of.alias("bytes")), "cid").select("leaf", "p", "q", "block", "cid", "leaves", "bytes")
     least = math.floor((similarity - 4.3 * math.sqrt(similarity * (1 - similarity) / t)) * t)
     dealt = light.repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
-    needed = written(dealt.mapInArrow(prefilter(least), "leaf long, p int, q int, block int, cid binary"), "join-needed")
+    needed = written(dealt.mapInArrow(tidy(prefilter(least)), "leaf long, p int, q int, block int, cid binary"), "join-needed")
     # Whole sets only for classes with a pair to compare: their documents are read again.
     wanted = needed.select("cid").distinct().join(info.select("cid", "min_id"), "cid").select("min_id").distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("min_id"))).select("text")
-    sets = texts.mapInArrow(setter(shingle), "cid binary, shingles binary").groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
+    sets = texts.mapInArrow(tidy(setter(shingle)), "cid binary, shingles binary").groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
     full = needed.join(info.select("cid", "leaves", "n_docs"), "cid").join(sets, "cid")
     full = full.select("leaf", "p", "q", "block", "cid", "leaves", "n_docs", "shingles").repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
-    found = written(full.mapInArrow(comparer(similarity), "cid binary, links long, label binary"), "join-links")
+    found = written(full.mapInArrow(tidy(comparer(similarity)), "cid binary, links long, label binary"), "join-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     labels = components(found.select("cid", "label"))
     named = classes.select("cid", "n_docs", "min_id").join(links, "cid", "left").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -11,7 +11,9 @@ A text is processed in groups of chunks, so memory is bounded for a text of any
 
 Defined cases: a null or empty text is one chunk of padding; null ids are not held out;
 repeated rows score alike; without labelled rows of both classes the score is the
-class's share, smoothed; an empty table gives no rows; other columns are ignored.
+class's share, smoothed; a very long text is scored whole, in groups of chunks; an empty table gives
+no rows; other columns are ignored, whatever their names, and `reject_low` keeps them. Ids are
+whole numbers.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, tidy
 from .labelled import sample
 
 CHUNK, STRIDE, STEP, PAD = 384, 320, 4, 256
@@ -175,7 +177,7 @@ def scorer(packed: bytes):
 def score_documents(docs: DataFrame, network: Network, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted (1 at or above the threshold)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out("doc_id", 4).alias("held_out"))
-    scored = rows.mapInArrow(scorer(pickle.dumps(network)), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(tidy(scorer(pickle.dumps(network))), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -191,4 +193,4 @@ def reject_low(docs: DataFrame, network: Network, threshold: float = 0.7) -> Dat
                 keep += [s >= threshold for s in own.score(texts.slice(a, 256).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

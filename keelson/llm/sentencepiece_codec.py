@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -217,7 +219,7 @@ def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col:
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return base.mapInArrow(tidy(run), T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_column(coded: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -254,4 +256,4 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 good = [b[1:] == (t or "").encode() for b, t in zip(back, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1024), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(good)], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, remove, written
+from .common import held_out, remove, tidy, written
 from .labelled import sampled, weights_of
 
 #: Terms that name groups, swapped with each other.
@@ -205,13 +205,13 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, penalty: f
         if len(set(y)) < 2:
             return Model({}, prior_of(y, w))
         n1, n0 = int(y.sum()), int((1 - y).sum())
-        parts = texts.select("y_", "text_").mapInArrow(features, "y_ int, part long").groupBy("part").agg(F.sum("y_").alias("c1"), F.sum(1 - F.col("y_")).alias("c0"))
+        parts = texts.select("y_", "text_").mapInArrow(tidy(features), "y_ int, part long").groupBy("part").agg(F.sum("y_").alias("c1"), F.sum(1 - F.col("y_")).alias("c0"))
         odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
         fit = parts.where(F.col("c1") + F.col("c0") >= least_docs).withColumn("odds", odds).where(F.col("odds") > least_odds)
         # The sign bit turned: in the order of unsigned numbers.
         strong = fit.orderBy((F.col("odds") * F.col("c1")).desc(), F.col("part").bitwiseXOR(F.lit(-(1 << 63)))).limit(most).select("part").collect()
         index = np.unique(np.concatenate([np.array([r[0] for r in strong], np.int64).view(np.uint64), identity_parts()]))
-        held = texts.select("id_", "text_").mapInArrow(places(index, {i: n for n, (i, _) in enumerate(got)}), "n int, ones array<int>, others array<int>").toPandas().sort_values("n")
+        held = texts.select("id_", "text_").mapInArrow(tidy(places(index, {i: n for n, (i, _) in enumerate(got)})), "n int, ones array<int>, others array<int>").toPandas().sort_values("n")
     finally:
         remove(docs.sparkSession, texts.scratch_path)
     ones, others = ((np.repeat(held["n"].to_numpy(), held[k].map(len)), np.concatenate(held[k].to_list()).astype(np.int64)) for k in ("ones", "others"))
@@ -221,7 +221,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, penalty: f
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, held_words: int = 200_000) -> DataFrame:
     """doc_id, held_out, score, predicted (1 at or above the threshold)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out("doc_id", 4).alias("held_out"))
-    scored = rows.mapInArrow(scorer(pickle.dumps(model), held_words), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(tidy(scorer(pickle.dumps(model), held_words)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -239,4 +239,4 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, held_wor
                     known.clear()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
