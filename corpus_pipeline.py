@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import mixing, ngram_join, quality_classifier, sentencepiece_codec, toxicity
-from keelson.llm.common import table, written
+from keelson.llm.common import cleared, remove, table
 from keelson.llm.queries import tokenizer
 
 #: Documents at or above the first and below the second score are rejected.
@@ -58,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage leaves in the shared folder, and its input, go as soon
+    as its own rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        docs = cleared(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        if before:
+            remove(spark, before)
+        before = docs.scratch_path
     return docs
