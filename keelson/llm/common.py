@@ -130,6 +130,14 @@ def hot_join(many: DataFrame, one: DataFrame, key: str, size: str, total: int, s
     return many.join(F.broadcast(one.where(hot)), key).unionByName(rest)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def held_out(column: str, mod: int, at: int = 2):
     """Whether crc32 of the id as text, modulo mod, is `at`."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod == at, F.lit(False))
