@@ -6,8 +6,10 @@ return the columns of documents. Classifiers are fitted on the labelled document
 sf_dir, within the bounds that their `fitted` functions document.
 
 Defined cases: as the operators state them. Rows without an id cannot be told apart by
-the join and mixing stages: the join keeps those of their classes that have no other id, the mix
-gives them the most copies that any of them has.
+the join and mixing stages: the join keeps all of them if one stands for a class without an id, the
+mix gives each with a word the most copies that any of them has; both treat a repeated id alike, and of rows equal
+in id and text the join keeps one. Empty tables stay empty. Further columns stay as they are
+in the first four stages, whatever their names; the last has its own four.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import mixing, ngram_join, quality_classifier, sentencepiece_codec, toxicity
-from keelson.llm.common import cleared, remove, table
+from keelson.llm.common import WORD, cleared, fresh, remove, table
 from keelson.llm.queries import tokenizer
 
 #: Documents at or above the first and below the second score are rejected.
@@ -35,16 +37,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    kept = ngram_join.join(docs).select(F.col("class_id").alias("kept_id_")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")), "left_semi")
-    return left.withColumn("text_key_", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "text_key_"]).drop("text_key_")
+    kept = ngram_join.join(docs).select(F.col("class_id").alias("kept")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
+    key = fresh(docs, "text_key")
+    return left.withColumn(key, F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", key]).drop(key)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    epochs = mixing.mix(docs).groupBy(F.col("doc_id").alias("mix_id_")).agg(F.max("epochs").alias("epochs_")).where("epochs_ > 0")
-    rows = docs.join(epochs, F.col("doc_id").eqNullSafe(F.col("mix_id_"))).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("epochs_").cast("int"))))
-    return rows.select(*[docs[c] for c in docs.columns])
+    own, times, copy = (fresh(docs, n) for n in ("mix_id", "epochs", "copy"))
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(own)).agg(F.max("epochs").alias(times)).where(F.col(times) > 0)
+    rows = docs.where(F.col("text").rlike(WORD)).join(taken, docs["doc_id"].eqNullSafe(taken[own]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
