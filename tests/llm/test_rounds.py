@@ -1,5 +1,6 @@
 """Shared tables, repeated queries, hot keys and brute-force forms of the classifiers."""
 
+import collections
 import os
 
 import duckdb
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import common, id_store, license_scan, ngram_join, quality_classifier, queries, sentencepiece_codec, topk, toxicity
+from keelson.llm import common, id_store, katz, license_scan, ngram_join, quality_classifier, queries, sentencepiece_codec, topk, toxicity
 
 
 def test_equal_query_rows_as_in_sql(spark, tmp_path):
@@ -356,3 +357,88 @@ def test_ties_in_the_top(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, tile_rows=8, cell_rows=16, cell_queries=2, salts=3).collect())
     score = 128 * 128 + 64 * 64
     assert got == [(q, n + 1, v, score) for q in (0, 50, 100) for n, v in enumerate([i for i in range(6) if i != q][:5])]
+
+
+class Katz:
+    """The definition, by dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.grams = order, [None] + [collections.Counter() for _ in range(order)]
+        for t in texts:
+            words = ["<s>"] * (order - 1) + [*(t or "").lower().split(), "</s>"]
+            for i in range(order - 1, len(words)):
+                for k in range(1, order + 1):
+                    self.grams[k][tuple(words[i - k + 1 : i + 1])] += 1
+        self.d = [None] + [katz.discounts([sum(n == r for n in g.values()) for r in range(1, 7)]) for g in self.grams[1:]]
+        self.n = sum(self.grams[1].values())
+        self.after = [collections.defaultdict(dict) for _ in range(order + 1)]
+        for k in range(1, order + 1):
+            for g, c in self.grams[k].items():
+                self.after[k][g[:-1]][g[-1]] = c
+        self.known = {}
+
+    def kept(self, k, c):
+        return (self.d[k][c] if c <= 5 else 1.0) * c
+
+    def p(self, word, history):
+        k = len(history) + 1
+        if k == 1:
+            c, left = self.grams[1].get((word,), 0), 1 - sum(self.kept(1, c) for c in self.grams[1].values()) / self.n
+            if left < 1e-12:
+                return (c or 1) / (self.n + 1)
+            return self.kept(1, c) / self.n if c else left
+        seen = self.after[k].get(history)
+        if not seen:
+            return self.p(word, history[1:])
+        if history not in self.known:
+            total = sum(seen.values())
+            left = 1 - sum(self.kept(k, c) for c in seen.values()) / total
+            free = 1 - sum(self.p(w, history[1:]) for w in seen)
+            self.known[history] = (total, left, free)
+        total, left, free = self.known[history]
+        full = left < 1e-9
+        if word in seen:
+            return (total / (total + 1) if full else 1.0) * self.kept(k, seen[word]) / total
+        return (1 / (total + 1) if full else left) / free * self.p(word, history[1:])
+
+    def score(self, text):
+        words = ["<s>"] * (self.order - 1) + [*(text or "").lower().split(), "</s>"]
+        return sum(np.log10(self.p(words[i], tuple(words[i - self.order + 1 : i]))) for i in range(self.order - 1, len(words)))
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_of_any_order(spark, order):
+    import random
+    import zlib
+
+    rng = random.Random(order)
+    some = lambda: " ".join(rng.choice("a b c d".split()) if rng.random() < 0.8 else f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 30)))
+    rows = [(i, some(), "x") for i in range(150)] + [(None, some(), "y"), (500, None, "z"), (501, " ", "z"), (7, "a a a a a a", "z")]
+    learnt = [t for i, t, _ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    want = Katz(learnt, order)
+    histories = list(want.after[order])
+    for history in rng.sample(histories, min(40, len(histories))):
+        assert sum(want.p(w, history) for (w,) in want.grams[1]) + want.p("never", history) == pytest.approx(1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(4)
+    model = katz.fitted(docs, order=order, block_tokens=300, bucket_ngrams=50)
+    got = sorted((repr(r.doc_id), round(r.score, 5)) for r in model.score(docs, block_tokens=250).collect())
+    assert [g[0] for g in got] == sorted(repr(i) for i, _, _ in rows)
+    assert [g[1] for g in got] == pytest.approx([s for _, s in sorted((repr(i), round(want.score(t), 5)) for i, t, _ in rows)], abs=2e-5)
+    both = sorted((repr(r.doc_id), round(r.score, 5)) for r in katz.score(docs, block_tokens=400, order=order).collect())
+    assert [g[0] for g in both] == [g[0] for g in got] and [g[1] for g in both] == pytest.approx([g[1] for g in got], abs=2e-5)
+    # Another table, scored later from the stored tables.
+    kept = katz.Model.load(spark, model.save(spark))
+    other = [(1, "a b never seen c d", "q"), (2, "", "q"), (3, "w1 w1 w1", "q")]
+    scored = {r.doc_id: r for r in kept.score(spark.createDataFrame(other, "doc_id long, text string, score string")).collect()}
+    for i, t, _ in other:
+        assert scored[i].score == pytest.approx(want.score(t)) and scored[i].train_tokens == want.n
+    assert kept.score(docs.where("false")).count() == 0
+
+
+def test_katz_without_training_rows(spark):
+    import zlib
+
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    for order in (2, 3):
+        rows = katz.score(spark.createDataFrame([(i, "a b", 1) for i in out], "doc_id long, text string, order int"), order=order).collect()
+        assert [(r.n_tokens, r.n_known, r.train_tokens, r.score, r.held_out) for r in rows] == [(3, 0, 0, 0.0, True)] * 3
