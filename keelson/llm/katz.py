@@ -436,11 +436,12 @@ def by_bucket(requests: DataFrame, buckets: int) -> DataFrame:
 
 
 def by_block(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Every block with the answers that it got."""
+    """Every block with the answers that it got, about a block a task."""
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count())
     rows = blocks.select("block", F.lit("block").alias("kind"), F.lit(0).alias("order"), F.lit(0).alias("bucket"), F.col("payload").alias("values"))
     for own in answers:
         rows = rows.unionByName(own)
-    return rows.repartition("block").sortWithinPartitions("block")
+    return rows.repartition(parts, "block").sortWithinPartitions("block")
 
 
 @dataclass
