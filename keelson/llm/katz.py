@@ -130,9 +130,9 @@ class Level:
 
 
 class Block:
-    """A block's tokens and their n-grams up to an order."""
+    """A block's tokens and their n-grams up to an order, of a model of order `top`."""
 
-    def __init__(self, payload: bytes, order: int):
+    def __init__(self, payload: bytes, order: int, top: int = 0):
         body = pickle.loads(payload)
         self.docs, self.held = body["docs"], np.array(body["held"], bool)
         ids, sizes = stretch(body["ids"], "<u4").astype(np.int64), body["sizes"] + 1
@@ -160,7 +160,8 @@ class Block:
             before = np.concatenate([[0], below.at[:-1]]).astype(np.int64)
             before[first] = below.starts
             key = before * width + tokens
-            if k < order:
+            history_too = k < max(order, top)
+            if history_too:
                 key = np.append(key, below.starts * width + start)
             if k == 2:
                 distinct, own = np.unique(key, return_inverse=True)
@@ -176,7 +177,7 @@ class Block:
             rank[by_hash] = np.arange(len(by_hash), dtype=np.int32)
             at = rank[own[: len(tokens)]]
             counts = np.bincount(at[train], minlength=len(hashes)).astype(np.uint32)
-            self.levels.append(Level(hashes[by_hash], history[by_hash].astype(np.int32), lower[by_hash].astype(np.int32), at, counts, int(rank[own[-1]]) if k < order else -1))
+            self.levels.append(Level(hashes[by_hash], history[by_hash].astype(np.int32), lower[by_hash].astype(np.int32), at, counts, int(rank[own[-1]]) if history_too else -1))
 
 
 def slices(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -221,8 +222,7 @@ def ask_values(order: int, top: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # One order more, where there is one, for the histories of starts alone.
-                own = Block(payload, min(order + 1, top)).levels[order - 1]
+                own = Block(payload, order, top).levels[-1]
                 yield from sent(block, own.hashes, buckets, lambda x, y: b"")
 
     return run
