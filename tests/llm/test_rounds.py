@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import common, id_store, katz, license_scan, ngram_join, quality_classifier, queries, sentencepiece_codec, topk, toxicity
+from keelson.llm import common, id_store, katz, license_scan, ngram_join, quality_classifier, quality_rules, queries, sentencepiece_codec, topk, toxicity
 
 
 def test_equal_query_rows_as_in_sql(spark, tmp_path):
@@ -442,3 +442,25 @@ def test_katz_without_training_rows(spark):
     for order in (2, 3):
         rows = katz.score(spark.createDataFrame([(i, "a b", 1) for i in out], "doc_id long, text string, order int"), order=order).collect()
         assert [(r.n_tokens, r.n_known, r.train_tokens, r.score, r.held_out) for r in rows] == [(3, 0, 0, 0.0, True)] * 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_references_are_measured(spark):
+    sf = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    characters, words = quality_rules.measured(clean)
+    assert set(words) == set(quality_rules.WORD_SHARES)
+    for lang, own in quality_rules.WORD_SHARES.items():
+        assert len(set(own) & set(words[lang])) >= 8
+        assert all(words[lang][w] == pytest.approx(x, rel=0.25, abs=0.002) for w, x in own.items() if w in words[lang])
+        assert characters[lang] == pytest.approx(quality_rules.CHARACTER_SHARES[lang], rel=0.1, abs=0.005)
+    # A language of one's own: far from the four, near itself.
+    import random
+
+    rng = random.Random(3)
+    common = "che il non una per con del sono alla più".split()
+    text = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("aeiobcdlmnprst") for _ in range(rng.randint(6, 11))) for _ in range(200))
+    docs = spark.createDataFrame([(i, text(), "it") for i in range(40)], "doc_id long, text string, lang string")
+    known = quality_rules.measured(docs)
+    assert not any(r.kept for r in quality_rules.judge(docs).collect())
+    assert all(r.kept for r in quality_rules.judge(docs, characters=known[0], words=known[1]).collect())
