@@ -297,7 +297,7 @@ def packer(width: int, segment_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, max_shards: int = 10_000, segment_ids: int = 1 << 20, held_chunks: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 2, docs_per_shard: int = 4096, max_shards: int = 10_000, segment_ids: int = 1 << 20, held_chunks: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes their segments, ascending in doc_id; returns the table of
     segments (shard, segment, n_ids, payload) as read back from the shared folder.
 

@@ -139,7 +139,7 @@ def streamed(vocabulary: Vocabulary, chars: Iterable[str]) -> Iterator[list[int]
 
 
 class Codec:
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 800_000):
         self.vocabulary = Vocabulary(path)
         self.held, self.known = held, {}
         # The common case: no piece has a meta symbol after another character, so all paths
@@ -203,7 +203,7 @@ def worker_codec(path: str, held: int) -> Codec:
     return CODECS[path, held]
 
 
-def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", held: int = 400_000) -> DataFrame:
+def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", held: int = 800_000) -> DataFrame:
     """The documents with their ids (array of int) in a column ids_col, replacing one of that
     name."""
     base = docs.drop(ids_col)
@@ -236,7 +236,7 @@ def decode_column(coded: DataFrame, model: str, ids_col: str = "ids", text_col:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", held: int = 400_000) -> DataFrame:
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", held: int = 800_000) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and whether decoding gives the text back, per document.
 
     The round trip is checked on the pieces' text: ids are decoded stretch by stretch.
