@@ -139,7 +139,7 @@ def streamed(vocabulary: Vocabulary, chars: Iterable[str]) -> Iterator[list[int]
 
 
 class Codec:
-    def __init__(self, path: str, held: int = 800_000):
+    def __init__(self, path: str, held: int = 500_000):
         self.vocabulary = Vocabulary(path)
         self.held, self.known = held, {}
         # The common case: no piece has a meta symbol after another character, so all paths
