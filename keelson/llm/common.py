@@ -47,6 +47,18 @@ def remove(spark: SparkSession, *paths: str) -> None:
 #: Scratch tables made since the start of each open `cleared` call.
 MADE: list[list[str]] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a row group, of which each task's scan and writer hold one, outside of what Spark accounts for and spills.
+ROW_GROUP = 8 << 20
+BLOCK, BATCH, BATCH_ROWS = "parquet.block.size", "spark.sql.parquet.columnarReaderBatchSize", 512
+
+
+def small_pieces(spark: SparkSession) -> None:
+    """From now on the session writes Parquet in row groups of ROW_GROUP bytes and reads it BATCH_ROWS rows at a
+    time, unless it has other sizes set: a lazy result is read and written by its caller, in the caller's session."""
+    if spark.conf.get(BLOCK, None) is None and spark._jsc.hadoopConfiguration().get(BLOCK) is None:
+        spark.conf.set(BLOCK, str(ROW_GROUP))
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
 def write(df: DataFrame, path: str, by: list[str] = ()) -> None:
@@ -54,7 +66,7 @@ def write(df: DataFrame, path: str, by: list[str] = ()) -> None:
     conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP)
     conf.set(CLEANUP, "true")
     try:
-        df.write.partitionBy(*by).parquet(path)
+        df.write.option(BLOCK, ROW_GROUP).partitionBy(*by).parquet(path)
     finally:
         conf.set(CLEANUP, before)
     if MADE:
