@@ -49,16 +49,23 @@ MADE: list[list[str]] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a row group, of which each task's scan and writer hold one, outside of what Spark accounts for and spills.
 ROW_GROUP = 8 << 20
-BLOCK, BATCH, BATCH_ROWS = "parquet.block.size", "spark.sql.parquet.columnarReaderBatchSize", 512
+BLOCK, BATCH, BATCH_ROWS = "parquet.block.size", "spark.sql.parquet.columnarReaderBatchSize", 128
+#: Scans take a row group in buffers of at most a quarter MiB, and Python gets a thousand texts at once: arrays of many MiB each
+#: do not fit a small heap while other tasks are in native compression, which holds up its collection.
+PIECES = {"parquet.hadoop.vectored.io.enabled": "false", "parquet.read.allocation.size": str(1 << 18), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def small_pieces(spark: SparkSession) -> None:
-    """From now on the session writes Parquet in row groups of ROW_GROUP bytes and reads it BATCH_ROWS rows at a
-    time, unless it has other sizes set: a lazy result is read and written by its caller, in the caller's session."""
+    """From now on the session writes Parquet in row groups of ROW_GROUP bytes, reads it BATCH_ROWS rows at a
+    time and takes both in PIECES, unless it has other sizes set: a lazy result is read and written by its caller, in
+    the caller's session."""
     if spark.conf.get(BLOCK, None) is None and spark._jsc.hadoopConfiguration().get(BLOCK) is None:
         spark.conf.set(BLOCK, str(ROW_GROUP))
     if not spark._jsparkSession.sessionState().conf().contains(BATCH):
         spark.conf.set(BATCH, str(BATCH_ROWS))
+    for key, value in PIECES.items():
+        if not spark._jsparkSession.sessionState().conf().contains(key) and spark._jsc.hadoopConfiguration().get(key) is None:
+            spark.conf.set(key, value)
 
 
 def write(df: DataFrame, path: str, by: list[str] = ()) -> None:

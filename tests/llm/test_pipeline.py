@@ -67,6 +67,27 @@ def test_texts_are_written_in_small_pieces(spark, tmp_path, monkeypatch):
         spark.conf.unset(common.BATCH)
 
 
+def test_texts_reach_scans_and_python_in_small_pieces(spark):
+    import pyarrow as pa
+
+    def lengths(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(b)], pa.int64())})
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "parquet.read.allocation.size"
+    try:
+        spark.conf.set(size, "1000000")
+        corpus_pipeline.mixed(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+        assert spark.range(0, 5000, 1, 1).mapInArrow(lengths, "n long").agg(F.max("n")).first()[0] == 1000
+        hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+        assert hadoop.get("parquet.hadoop.vectored.io.enabled") == "false"
+        # A size that the caller has set stays.
+        assert hadoop.get(size) == "1000000"
+    finally:
+        for key in (rows, size, "parquet.hadoop.vectored.io.enabled", common.BLOCK, common.BATCH):
+            spark.conf.unset(key)
+
+
 def test_one_of_each_with_repeated_and_null_ids(spark):
     text = lambda n: " ".join(f"w{n}x{i}" for i in range(30))
     rows = [(5, text(1)), (5, text(1)), (5, text(2)), (3, text(2)), (7, text(3)), (8, text(3)), (None, text(4)), (None, text(4)), (None, text(3)), (9, None)]
