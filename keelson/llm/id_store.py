@@ -24,6 +24,7 @@ table has no segments; other columns are ignored, whatever their names. Ids are
 from __future__ import annotations
 
 import gc
+import json
 import math
 import os
 import re
@@ -147,6 +148,23 @@ OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u20
 #: Chunks of one leading space or line end and no other: joined, they are one text whose
 #: tokens fall apart again at the tokens that begin with that character.
 ONE_SPACE = re.compile(r"[ \n][^ \n]+")
+#: After these a full stop or comma is a token of its own.
+STOPPED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def bare_model(lib):
+    """The tokenizer's model alone. The pre-tokenizer does no more to words of A-Z and a-z than to part them before the
+    spaces, and no token has a space after such a letter, so no merge goes across two of them: the model
+    takes many at once. None where that does not hold, or where anything else may do more with such words."""
+    from tokenizers import Tokenizer
+
+    own = json.loads(lib.to_str())
+    model, ahead = own["model"], own["pre_tokenizer"] or {}
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in odd) and ahead.get("type") == "ByteLevel" and ahead.get("use_regex", True) and not ahead.get("add_prefix_space")
+    if not plain or any(own.get(k) for k in ("normalizer", "truncation", "padding")) or any(re.fullmatch(r"[\w .,]*", t["content"]) for t in own["added_tokens"]) or any(re.search("[A-Za-z]\u0120", t) for t in model["vocab"]):
+        return None
+    return Tokenizer(lib.model)
 
 
 class ChunkEncoder:
@@ -164,16 +182,26 @@ class ChunkEncoder:
         self.held, self.chunks, self.parts = held, {}, {}
         # A text ends before an added token, and two line ends at an end are one token.
         self.cuts = ["\n\n" + t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.bare = bare_model(self.lib)
+        self.stops = {c: self.raw([c])[0] for c in ".,"} if self.bare else {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def together(self, chunks: list[str]) -> list[bytes]:
         """Many one-space chunks in one call; one by one if the parts don't add up."""
-        ids = np.array(self.lib.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        return self.apart(self.lib, "".join(chunks), len(chunks)) or self.raw(chunks)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The same of words of A-Z and a-z with a space before each, by the model alone: \u0120 is its space."""
+        return self.apart(self.bare, "\u0120" + "\u0120".join(words), len(words)) or self.raw([" " + w for w in words])
+
+    def apart(self, lib, text: str, n: int) -> list[bytes] | None:
+        """The ids of the text, cut before each token that begins with a space or line end; None if that are not n."""
+        ids = np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
         cuts = np.flatnonzero(self.starts[ids])
-        if len(cuts) != len(chunks):
-            return self.raw(chunks)
+        if len(cuts) != n:
+            return None
         flat, ends = ids.tobytes(), [*(cuts * self.width).tolist(), len(ids) * self.width]
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
@@ -220,15 +248,41 @@ class ChunkEncoder:
         """The ids of each of the distinct parts with the space before it, or the line end that it
         begins with. The table grows up to `held` parts; what comes later is encoded for
         this call only."""
-        out = list(map(self.parts.get, parts))
-        late = [i for i, ids in enumerate(out) if ids is None]
-        for a in range(0, len(late), 200):
-            some = late[a : a + 200]
+        get = self.parts.get
+        out = list(map(get, parts))
+        stopped = self.fill(out, parts)
+        # A full stop or comma after a letter or digit is a token of its own: the word before it is what is looked up.
+        words = [parts[i][:-1] for i in stopped]
+        ids = list(map(get, words))
+        self.fill(ids, words)
+        for i, own in zip(stopped, ids, strict=True):
+            out[i] = own + self.stops[parts[i][-1]]
+        return out
+
+    def fill(self, out: list, parts: list[str]) -> list[int]:
+        """Encodes the parts that have no ids yet, and puts them in the table if it takes them all; returns which
+        are left, as they end in a full stop or comma."""
+        letters, rest, stopped, ends = [], [], [], tuple(self.stops)
+        for i, ids in enumerate(out):
+            if ids is None:
+                p = parts[i]
+                if self.bare and p.isascii() and p.isalpha():
+                    letters.append(i)
+                elif p.endswith(ends) and p[-2:-1] in STOPPED:
+                    stopped.append(i)
+                else:
+                    rest.append(i)
+        for a in range(0, len(letters), 200):
+            some = letters[a : a + 200]
+            for i, ids in zip(some, self.words([parts[i] for i in some]), strict=True):
+                out[i] = ids
+        for a in range(0, len(rest), 200):
+            some = rest[a : a + 200]
             for i, ids in zip(some, self.together([p if (p := parts[i])[0] == "\n" else " " + p for i in some]), strict=True):
                 out[i] = ids
-        if len(self.parts) + len(late) <= self.held:
-            self.parts.update((parts[i], out[i]) for i in late)
-        return out
+        if len(self.parts) + len(letters) + len(rest) <= self.held:
+            self.parts.update([(parts[i], out[i]) for own in (letters, rest) for i in own])
+        return stopped
 
 
 ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}

@@ -464,3 +464,30 @@ def test_references_are_measured(spark):
     known = quality_rules.measured(docs)
     assert not any(r.kept for r in quality_rules.judge(docs).collect())
     assert all(r.kept for r in quality_rules.judge(docs, characters=known[0], words=known[1]).collect())
+
+
+def test_words_of_letters_go_to_the_bare_model(monkeypatch):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    own = id_store.ChunkEncoder(path, 1000)
+    odd = ["it's.", "it's,", "'s.", "10km.", "v2,", "a..", "b,.", ".", ",", "x.y.", "voilà.", "voilà", "naïve", "İstanbul.", "ﬁn", "中文.", "Ġabc", "abcĠ.", "A", "Z.", "<|endoftext|>", "<|endoftext|>.", "word<|endoftext|>", "é.", "².", "a" * 400, "b" * 400 + "."]
+    texts = [" ".join(["first", w, "then", w + ".", w, "last"]) + f"\n{w}\n\n{w}." for w in odd] + ["\n".join(odd), " ".join(odd), " ".join(f"{a}{b}" for a in odd for b in odd)]
+    want = [np.array(own.lib.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert own.width == 2 and own.encode(texts) == want and own.encode(texts) == want
+    # A table too small for any of it.
+    assert id_store.ChunkEncoder(path, 1).encode(texts) == want
+    # Words of letters, with a full stop or comma after them or not, don't pass the pre-tokenizer, and the table has them once.
+    own = id_store.ChunkEncoder(path, 1000)
+    through = []
+    monkeypatch.setattr(own, "together", lambda chunks, f=own.together: through.extend(chunks) or f(chunks))
+    own.encode(["ab plain words, plain. words qu'il", "ab qu'il. words. xy,"])
+    assert not any(c.strip(" ,.").isalpha() and c[0] == " " for c in through) and {*own.parts} == {"ab", "plain", "words", "xy", "qu'il"}
+    # Other tokenizers may join words: their words all pass the pre-tokenizer.
+    held = json.loads(own.lib.to_str())
+    for change in (lambda t: t["model"]["vocab"].update({"aĠb": 60_000}), lambda t: t["pre_tokenizer"].update(add_prefix_space=True), lambda t: t["model"].update(ignore_merges=True), lambda t: t["added_tokens"][0].update(content="some words"), lambda t: t.update(normalizer={"type": "Lowercase"})):
+        change(other := json.loads(json.dumps(held)))
+        assert id_store.bare_model(Tokenizer.from_str(json.dumps(other))) is None
+    assert id_store.bare_model(own.lib) is not None
